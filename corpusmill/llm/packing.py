@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Bounds of a worker's cache: words in a generation, bytes in a word.
 CACHE_WORDS = 300_000
+CACHE_BYTES = 64
 
 
 class OpenWindows:
@@ -103,7 +105,7 @@ class WordTokenizer:
             parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
             if len(young) + len(found) > CACHE_WORDS:
                 self.old, self.young = young, {}
-            self.young.update(found)
+            self.young.update((w, p) for w, p in found.items() if len(w) <= CACHE_BYTES)
         return b"".join(parts)
 
 
