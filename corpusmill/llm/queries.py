@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from corpusmill.llm import exact_dedup, mixing, packing, quality_rules, simhash, substring_dedup, warc
 from corpusmill.llm.common import table
 
 
@@ -22,6 +22,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 #: Target weights by source; a source that isn't named weighs 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
@@ -44,7 +53,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
@@ -62,6 +73,13 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                    doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
             from t window w as (partition by norm)""",
+        "op3_warc": """
+            with p as (select page_id, url, coalesce(html, '') as html from pages),
+            m as (select *, max(page_id) over (partition by html) as largest from p)
+            select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest,
+                   case when octet_length(encode(html)) >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+                   case when octet_length(encode(html)) >= 1000 and page_id <> largest then largest end as refers_to, url
+            from m""",
         "op4_mixing": f"""
             with sizes as (select source, sum(length(coalesce(text, '')))::double as size from documents group by source),
             weighed as (select *, {MIX_CASE} as weight from sizes where size > 0),
