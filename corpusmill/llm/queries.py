@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, mixing, packing, quality_rules, simhash, substring_dedup, warc
+from corpusmill.llm import exact_dedup, language_id, mixing, packing, quality_rules, simhash, substring_dedup, warc
 from corpusmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_language_id": op2_language_id,
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_substring_dedup": op5_substring_dedup,
