@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, warc
+from corpusmill.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
 from corpusmill.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
