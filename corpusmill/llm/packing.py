@@ -17,6 +17,9 @@ columns are not read. sequence_id numbers are unique, from the partition and a c
 
 from __future__ import annotations
 
+import os
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Bounds of a worker's cache: words in a generation, bytes in a word.
-CACHE_WORDS = 300_000
+#: Bounds of a worker's cache: words in a generation, bytes in a word, bytes in a word of several pieces.
+CACHE_WORDS = 500_000
 CACHE_BYTES = 64
+CACHE_JOINED = 8
 
 
 class OpenWindows:
@@ -80,39 +84,82 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
     return window_of, offset_of, made
 
 
+#: How the tokenizer splits lower-cased text before it merges (white space goes): fixed values.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+LATIN = 0x180  # below, each letter lower-cases on its own
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: visible Latin-1 ones for themselves, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
 class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, cached by word."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, cached by word and piece.
+
+    A word that is new goes to the tokenizer's merge model piece by piece, if it is plain Latin text
+    whose split, lower-casing and normal form are certain; else to the tokenizer as a whole.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one worker, one core
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = regex.compile(PIECES).findall
+        self.letters = byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
-        # The tokenizer lower-cases after it has looked for its special tokens, all of which hold "<|".
-        words = (raw.lower() if raw.isascii() and b"<|" not in raw else raw).split()
-        young = self.young
-        parts = [young.get(w) for w in words]
+        if b"<|" in raw:  # may hold special tokens, which are looked for before all else
+            return self.whole(raw)
+        # Unless a combining mark follows, an ASCII letter may be lower-cased before the rest.
+        words = (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
+        parts = list(map(self.young.get, words))
         if None in parts:
-            missing = {w for w, p in zip(words, parts, strict=True) if p is None}
-            found = {w: p for w in missing if (p := self.old.get(w)) is not None}
-            new = [w for w in missing if w not in found]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            found |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
-            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            if len(young) + len(found) > CACHE_WORDS:
-                self.old, self.young = young, {}
-            self.young.update((w, p) for w, p in found.items() if len(w) <= CACHE_BYTES)
+            parts = [self.word(w) if p is None else p for w, p in zip(words, parts, strict=True)]
         return b"".join(parts)
 
+    def whole(self, raw: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            if not text.isascii() and (ord(max(text)) >= LATIN or not unicodedata.is_normalized("NFC", text)):
+                found = self.whole(word)
+            elif word.isalpha():  # ASCII letters, in lower case but for rare texts with combining marks
+                found = self.piece(text.lower())
+            else:
+                pieces = self.pieces(text.lower())
+                if len(pieces) != 1 or pieces[0] != text:
+                    young = self.young
+                    found = b"".join([young.get(p) or self.word(p) for p in map(str.encode, pieces)])
+                    if len(word) > CACHE_JOINED:  # its pieces are cached; together they are rarely met again
+                        return found
+                else:
+                    found = self.piece(text)
+        if len(word) <= CACHE_BYTES:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
+        return found
+
+    def piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing_id: int = 1, block_tokens: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, closing_id: int = 1, block_tokens: int = 1 << 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
     closing = np.array([closing_id], "<u4").tobytes()
 
