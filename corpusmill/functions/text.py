@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,11 +44,19 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not again wherever the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-word shingles in lower case; fewer words make one shingle, none make none."""
-    w = words(F.lower(text))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) >= k, F.array_distinct(runs)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(F.lower(text)), of)
 
 
 def fingerprint(text: Column) -> Column:
