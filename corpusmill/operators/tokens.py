@@ -20,7 +20,8 @@ def hashed_id(word: Column) -> Column:
 
 def token_ids(text: Column, closing: int = 2) -> Column:
     """Ids of a text with ``closing`` end ids."""
-    return F.concat(F.transform(words(text), hashed_id), F.array(*[F.lit(EOS)] * closing))
+    ids = F.transform(words(text), hashed_id)
+    return F.concat(ids, F.array(*[F.lit(EOS)] * closing)) if closing else ids
 
 
 def check_ids(ids: Column) -> Column:
