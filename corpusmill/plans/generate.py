@@ -1,3 +1,97 @@
-from corpusmill.plans.base import Registry
+"""Queries for deterministic draws and request building. Draws are hashes of their key, so a row's draw never depends on its place."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusmill.functions.text import hash01
+from corpusmill.operators import languages
+from corpusmill.plans.base import Registry, read, sql_hash01
 
 R = Registry()
+LANG_ROWS = "(values " + ", ".join(f"('{c}')" for c, *_ in languages.LANGUAGES) + ") l(code), range(0, 40) r(i)"
+
+
+def grid(spark):
+    return languages.grid(spark, 40).select("code", "i")
+
+
+def u(*tags):
+    return hash01(*[F.lit(t) for t in tags], F.col("code"), F.col("i").cast("string"))
+
+
+@R.query(f"select code, count(*) filter ({sql_hash01("'hard|' || code || '|' || i")} < 0.2) as hard, count(*) as requests from {LANG_ROWS} group by code")
+def hard_fraction(spark, sf_dir):
+    return grid(spark).groupBy("code").agg(F.count(F.when(u("hard") < 0.2, 1)).alias("hard"), F.count(F.lit(1)).alias("requests"))
+
+
+PAIR = sql_hash01("'pair|' || code || '|' || i")
+
+
+@R.query(f"select code, i::bigint as i, case when {PAIR} < 0.45 then 'from_english' when {PAIR} < 0.75 then 'to_english' when {PAIR} < 0.9 then 'from_other' else 'unrelated' end as kind from {LANG_ROWS}")
+def lang_pair(spark, sf_dir):
+    p = u("pair")
+    return grid(spark).select("code", "i", F.when(p < 0.45, "from_english").when(p < 0.75, "to_english").when(p < 0.9, "from_other").otherwise("unrelated").alias("kind"))
+
+
+@R.query(f"select code, i::bigint as i, floor({sql_hash01("'role|' || code || '|' || i")} * 18)::bigint as role, floor({sql_hash01("'mood|' || code || '|' || i")} * 10)::bigint as mood, floor({sql_hash01("'place|' || code || '|' || i")} * 6)::bigint as place from {LANG_ROWS}")
+def persona_pick(spark, sf_dir):
+    return grid(spark).select("code", "i", F.floor(u("role") * 18).alias("role"), F.floor(u("mood") * 10).alias("mood"), F.floor(u("place") * 6).alias("place"))
+
+
+@R.query()
+def tool_subset(spark, sf_dir):
+    """Hard rows get 2 to 4 tools without the target, others the target and 2 to 5 more, in hash order."""
+    tools = F.array(*[F.lit(f"tool{k:02d}") for k in range(14)])
+    keyed = grid(spark).withColumn("target", F.get(tools, F.floor(u("target") * 14).cast("int"))).withColumn("hard", u("hard") < 0.2)
+    others = F.array_sort(F.transform(F.array_remove(tools, F.col("target")), lambda t: F.struct(F.md5(F.concat_ws("|", t, "code", F.col("i").cast("string"))).alias("h"), t.alias("t"))))
+    n = F.when(F.col("hard"), 2 + F.floor(u("n") * 3)).otherwise(2 + F.floor(u("n") * 4)).cast("int")
+    names = F.transform(F.slice(others, F.lit(1), n), lambda s: s["t"])
+    return keyed.select("code", "i", "hard", "target", F.array_join(F.when(F.col("hard"), names).otherwise(F.concat(F.array("target"), names)), ",").alias("tools"))
+
+
+@R.query()
+def gen_requests(spark, sf_dir):
+    """Request lines for every language: id, endpoint and body as JSON."""
+    dim = languages.dimension(spark)
+    rows = dim.crossJoin(spark.range(40).withColumnRenamed("id", "i"))  # 13 rows by 40
+    prompt = F.concat(F.lit("Write one conversation in "), F.col("english_name"), F.lit(" about topic "), F.floor(u("topic") * 40).cast("string"), F.lit("."))
+    body = F.struct(F.lit("model").alias("model"), F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("messages"), F.lit(0.9).alias("temperature"))
+    custom = F.format_string("rag__%s__%05d__%s", "code", "i", F.when(u("hard") < 0.2, "hard").otherwise("plain"))
+    return rows.select(custom.alias("custom_id"), F.to_json(F.struct(custom.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), body.alias("body"))).alias("line"))
+
+
+RUNS = [("20260101_000000_pretrain", 900, True), ("20260722_000000_pretrain", 100, True), ("20260722_120000_sft", 300, True), ("20260723_000000_pretrain", 5000, False), ("20260722_100000_pretrain", 900, True)]
+RUN_ROWS = ", ".join(f"('{n}', {i}, {str(s).lower()})" for n, i, s in RUNS)
+
+
+@R.query(f"select mode, arg_max(name, (iter, name)) as name, max(iter)::bigint as iter from (select *, split_part(name, '_', 3) as mode from (values {RUN_ROWS}) r(name, iter, has_state) where has_state) group by mode")
+def latest_run(spark, sf_dir):
+    """Of each mode the run with the largest (iteration, timestamp) that has a state file."""
+    runs = spark.createDataFrame(RUNS, "name string, iter long, has_state boolean").where("has_state")
+    return runs.groupBy(F.regexp_extract("name", r"_([a-z]+)$", 1).alias("mode")).agg(F.max_by("name", F.struct("iter", "name")).alias("name"), F.max("iter").alias("iter"))
+
+
+PATHS = ["trainer_state.json", "ckpt_10/model.pt", "ckpt_best/model.pt", "resume_state/opt.pt", "resume_state_best/opt.pt", "ckpt_20/model.pt"]
+
+
+@R.query(f"select path, case when path in ('ckpt_20/model.pt') then 'copy' when path = 'trainer_state.json' or path like 'resume_state/%' or path like 'resume_state_best/%' or path like 'ckpt_best/%' then 'copy' else 'skip' end as action from (values {', '.join(f"('{p}')" for p in PATHS)}) p(path)")
+def copy_plan(spark, sf_dir):
+    """Copy what is missing or rewritten in place; skip what is there."""
+    local = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    there = local.where("path <> 'ckpt_20/model.pt'").withColumn("there", F.lit(True))
+    changing = (F.col("path") == "trainer_state.json") | F.col("path").rlike("^(resume_state|resume_state_best|ckpt_best)/")
+    return local.join(there, "path", "left").select("path", F.when(F.col("there").isNull() | changing, "copy").otherwise("skip").alias("action"))
+
+
+@R.query("select vec_id, abs(list_avg(embedding[1:32])::double - list_avg(embedding[33:64])::double) <= 0.1 as push from embeddings")
+def push_gate(spark, sf_dir):
+    """Publish only if two means differ by no more than the gate."""
+    x = F.col("embedding").cast("array<double>")
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return read(spark, sf_dir, "embeddings").select("vec_id", (F.abs(mean(F.slice(x, 1, 32)) - mean(F.slice(x, 33, 32))) <= 0.1).alias("push"))
+
+
+@R.query("select vec_id, substr(sha256(vec_id || '|' || label), 1, 16) as hash from embeddings")
+def window_hash(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.substring(F.sha2(F.concat_ws("|", F.col("vec_id").cast("string"), F.col("label").cast("string")), 256), 1, 16).alias("hash"))
