@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 18
 
 
-def running_total(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds ``name``: sum of ``value`` over earlier rows of the same key (this row not included)."""
-    rows = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(order) / block))
-    totals = rows.groupBy(key, "__b").agg(F.sum("__v").alias("__t"))
-    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__s"))
-    local = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def scan(df: DataFrame, key: str, order: str, totals: dict[str, Column] | None = None, following: dict[str, Column] | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds, in one pass over blocks, a column for each name.
+
+    totals: the sum of a value over earlier rows of the same key (this row not included).
+    following: the least value (null where not wanted) over later rows of the same key.
+    """
+    totals, following = totals or {}, following or {}
+    values = {f"__v{k}": v for k, v in enumerate([*totals.values(), *following.values()])}
+    rows = df.withColumns(values).withColumn("__b", F.floor(F.col(order) / block))
+    n, names = len(totals), list(values)
+    sums = rows.groupBy(key, "__b").agg(*[F.sum(v).alias(v) for v in names[:n]], *[F.min(v).alias(v) for v in names[n:]])
+    across, inside = Window.partitionBy(key).orderBy("__b"), Window.partitionBy(key, "__b").orderBy(order)
+    before = [F.coalesce(F.sum(v).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{v}s") for v in names[:n]]
+    after = [F.min(v).over(across.rowsBetween(1, Window.unboundedFollowing)).alias(f"{v}s") for v in names[n:]]
+    starts = sums.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), *before, *after)
     joined = rows.join(starts, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c")))
-    return joined.withColumn(name, (F.col("__s") + F.coalesce(F.sum("__v").over(local), F.lit(0))).cast("long")).drop("__v", "__b", "__k", "__c", "__s")
+    early, late = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    found = {name: (F.col(f"{v}s") + F.coalesce(F.sum(v).over(early), F.lit(0))).cast("long") for name, v in zip(totals, names, strict=False)}
+    found |= {name: F.coalesce(F.min(v).over(late), F.col(f"{v}s")) for name, v in zip(following, names[n:], strict=True)}
+    return joined.select("*", *[c.alias(name) for name, c in found.items()]).drop("__b", "__k", "__c", *names, *[f"{v}s" for v in names])
 
 
-def following_min(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds ``name``: least ``value`` (null where not wanted) over later rows of the same key."""
-    rows = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(order) / block))
-    firsts = rows.groupBy(key, "__b").agg(F.min("__v").alias("__f"))
-    later = Window.partitionBy(key).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
-    starts = firsts.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), F.min("__f").over(later).alias("__s"))
-    local = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    joined = rows.join(starts, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c")))
-    return joined.withColumn(name, F.coalesce(F.min("__v").over(local), F.col("__s"))).drop("__v", "__b", "__k", "__c", "__s")
+def running_total(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    return scan(df, key, order, totals={name: value}, block=block)

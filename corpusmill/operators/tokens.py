@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import words
-from corpusmill.operators.sequence import following_min, running_total
+from corpusmill.operators.checkpoints import cut
+from corpusmill.operators.sequence import running_total, scan
 
 EOS = 0
 
@@ -96,10 +97,9 @@ def segments(tokens: DataFrame, translate: Iterable[int], markers: Iterable[int]
     translate, markers, tags = list(translate), list(markers), list(tags or [])
     few = tokens.where(F.col("token").isin(eos, *translate, *markers, *tags)).select("file", "pos", "token")
     is_in = lambda ids: F.col("token").isin(*ids) if ids else F.lit(False)
-    rows = following_min(few, "file", "pos", F.when(F.col("token") == eos, F.col("pos")), "e")
-    rows = following_min(rows, "file", "pos", F.when(is_in(tags), F.col("pos")), "tag")
-    rows = running_total(rows, "file", "pos", is_in(markers).cast("long"), "m0")
-    rows = running_total(rows, "file", "pos", is_in(translate).cast("long"), "t0")
+    openings = {"m0": is_in(markers).cast("long"), "t0": is_in(translate).cast("long")}
+    next_ones = {"e": F.when(F.col("token") == eos, F.col("pos")), "tag": F.when(is_in(tags), F.col("pos"))}
+    rows = cut(scan(few, "file", "pos", openings, next_ones))  # tag rows only; read twice below
     ends = rows.where(F.col("token") == eos).select("file", F.col("pos").alias("e"), F.col("m0").alias("m1"), F.col("t0").alias("t1"))
     opens = rows.where(is_in(translate)).withColumn("own", is_in(markers).cast("long"))
     joined = opens.join(ends, ["file", "e"], "left")
@@ -124,7 +124,7 @@ def judged_segments(found: DataFrame, keep: int, full: bool = True) -> DataFrame
     before = per_file.select(F.col("file"), F.coalesce(F.sum("__q").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per file
     rows = rows.join(before, "file").withColumn("rank", F.when(F.col("kind") == "qualifying", F.col("__before") + F.col("__in_file") + 1))
     verdict = F.when(F.col("kind") == "qualifying", F.when(F.col("rank") <= keep, "kept").otherwise("deleted")).otherwise(F.col("kind"))
-    return rows.withColumn("verdict", verdict).drop("kind", "__in_file", "__before")
+    return cut(rows.withColumn("verdict", verdict).drop("kind", "__in_file", "__before"))
 
 
 def delete_ranges(judged: DataFrame) -> DataFrame:
