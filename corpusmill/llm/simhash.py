@@ -192,5 +192,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rest = docs.where(F.col(id_col).isNull())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
-    kept = named.join(stay, F.col("id") == F.col("__stay"), "left_semi").groupBy("id").agg(F.min_by("row", "text").alias("row"))
+    kept = named.join(stay, F.col("id") == F.col("__stay"), "left_semi").groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
     return kept.select("row.*").unionByName(rest)

@@ -9,8 +9,9 @@ again) is cut every ``MOST`` words.
 
 Chunks are deduplicated by a 64-bit digest of their words. In a group of equal chunks the smallest
 doc_id keeps its copy; occurrences in other documents are duplicates. Adjacent duplicate chunks
-merge, and a span counts from ``min_words`` words. As a passage is seen without its partial chunks
-at both ends (12 to 30 words), the default of 20 finds passages of over 50 words and leaves lines of fewer than 32.
+merge, and a span counts from ``min_words`` words. A passage is seen without its partial chunks at both
+ends (mostly 6 to 25 words). With the default of 20, 99.5 % of repeated 51-word passages are found and all of 60
+words and more (simulated, 1,500 each); one of 25 words is reported in 3 % of cases, one under 20 never.
 
 Defined results: null, empty and short texts have no span; documents that repeat one id are one
 document and never repeat each other; rows with a null id have no name to report, so they neither
