@@ -11,7 +11,7 @@ from corpusmill.functions.text import hash01, strip_spaces
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """First row of each key by ``order``: the map-side half of the aggregate folds copies before the shuffle."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(key.alias("__key")).agg(F.min_by(row, F.col(order)).alias("__row")).select("__row.*")
+    return df.groupBy(key.alias("__key")).agg(F.min_by(row, F.struct(order)).alias("__row")).select("__row.*")
 
 
 def text_key(text: Column) -> Column:
