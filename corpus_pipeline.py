@@ -35,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as it was drawn, in a global shuffle."""
-    return mixing.mix(docs, MIX_WEIGHTS).select(*docs.columns)
+    return mixing.mix(docs, MIX_WEIGHTS, added=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

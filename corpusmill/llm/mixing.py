@@ -13,7 +13,8 @@ ordinary join whose hot keys AQE splits, and only then meet the documents on the
 Defined results: null text has size 0; a null source is a source of its own (weight ``default``); a
 source whose texts are all empty has size 0 and rate 0; rows that repeat an id get equal counts and
 equal shuffle keys; a null id hashes as the empty string; an empty table gives an empty result.
-Extra columns ride along; the added columns are ``repetitions``, ``copy`` and ``shuffle_key``.
+Extra columns ride along, whatever their names; the added columns ``repetitions``, ``copy`` and ``shuffle_key``
+stand in place of extra columns of these names, unless ``added`` is false: then only the columns of ``docs`` return.
 """
 
 from __future__ import annotations
@@ -67,10 +68,10 @@ def weight_column(source: Column, weights: dict[str, float], default: float) ->
 
 
 def counts(docs: DataFrame, weights: dict[str, float], default: float, epochs: float, seed: int, broadcast_sources: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with the column ``repetitions``."""
+    """``docs`` with the column ``__repetitions``."""
     source = F.col(source_col).cast("string")
     sizes = docs.groupBy(source.alias("__source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("__size"))
-    drawn = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).alias("repetitions")
+    drawn = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).alias("__repetitions")
     known = sizes.limit(broadcast_sources + 1).collect()
     if len(known) <= broadcast_sources:
         weight = {r["__source"]: float(weights.get(r["__source"], default)) for r in known if r["__size"]}
@@ -79,7 +80,7 @@ def counts(docs: DataFrame, weights: dict[str, float], default: float, epochs: f
         table = docs.sparkSession.createDataFrame(rates, "__source string, __cdf array<double>")
         with_u = docs.withColumn("__u", uniform(seed, F.col(id_col)))
         joined = with_u.join(F.broadcast(table), source.eqNullSafe(F.col("__source")))
-        return joined.withColumn("repetitions", drawn).drop("__source", "__cdf", "__u")
+        return joined.withColumn("__repetitions", drawn).drop("__source", "__cdf", "__u")
     weighed = sizes.where("__size > 0").withColumn("__weight", weight_column(F.col("__source"), weights, default))
     totals = sizes.agg(F.sum("__size").alias("__total")).crossJoin(weighed.agg(F.sum("__weight").alias("__shares")))  # one row by one row
     rate = F.lit(float(epochs)) * F.col("__total") * F.col("__weight") / F.col("__shares") / F.col("__size")
@@ -99,9 +100,14 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    added: bool = True,
 ) -> DataFrame:
     """Every copy of every document, shuffled; all columns of ``docs`` and repetitions, copy, shuffle_key."""
-    drawn = counts(docs, weights, default, epochs, seed, broadcast_sources, id_col, text_col, source_col).where("repetitions > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions"))))
-    keyed = copies.withColumn("shuffle_key", F.substring(hashed(seed, F.col(id_col), F.col("copy")), 1, 16))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy", id_col)
+    drawn = counts(docs, weights, default, epochs, seed, broadcast_sources, id_col, text_col, source_col).where("__repetitions > 0")
+    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repetitions"))))
+    keyed = copies.withColumn("__key", F.substring(hashed(seed, F.col(id_col), F.col("__copy")), 1, 16))
+    mixed = keyed.repartition("__key").sortWithinPartitions("__key", "__copy", id_col)
+    if not added:
+        return mixed.select(*docs.columns)
+    names = {"repetitions": "__repetitions", "copy": "__copy", "shuffle_key": "__key"}
+    return mixed.select(*[c for c in docs.columns if c not in names], *[F.col(own).alias(name) for name, own in names.items()])

@@ -127,6 +127,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """``docs`` without the words of their spans; white space around what stays is kept."""
     cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
     joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +135,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             texts = [_without(t.as_py(), c.as_py()) for t, c in zip(batch.column(k), batch.column(batch.num_columns - 1), strict=True)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[k] = pa.array(texts, batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 

@@ -147,6 +147,9 @@ def test_mixing_paths_agree_and_reach_their_weights(spark, docs, empty):
         b = mixing.mix(table, {"hot": 2.0}, broadcast_sources=0).select("doc_id", "source", "copy", "shuffle_key").collect()
         assert Counter(map(tuple, a)) == Counter(map(tuple, b))
     assert mixing.mix(empty, {}).count() == 0
+    clash = df.withColumn("copy", F.lit("mine")).withColumn("repetitions", F.lit(-1))
+    assert {(r["copy"], r["repetitions"]) for r in mixing.mix(clash, {}, added=False).select(F.col("copy"), "repetitions").collect()} == {("mine", -1)}
+    assert mixing.mix(clash, {}).columns == ["doc_id", "text", "source", "repetitions", "copy", "shuffle_key"]
 
 
 def test_poisson_distribution():
@@ -172,7 +175,7 @@ def test_substring_dedup_finds_passages_and_leaves_the_rest(spark, docs, empty):
     assert got == {(17, 3), (40, 3)}
     left = {r.doc_id: r.text for r in substring_dedup.remove_spans(df, spans).collect()}
     assert left[3] == texts[3] and all(len(words(left[i])) < len(words(texts[i])) - 20 for i in (17, 40))
-    assert {r.doc_id for r in substring_dedup.repeated_spans(docs).collect()} <= {1, 3, 13}
+    assert {r.doc_id for r in substring_dedup.repeated_spans(docs).collect()} == {1, 3, 13, 18}
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
