@@ -240,6 +240,14 @@ def test_lm_base_scores(spark, docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_learns_which_word_follows_a_rare_one(spark):
+    """Each word is rare, but its follower is certain; in the second text each word has another's follower."""
+    data = [(i, " ".join(f"a{j % 600} b{j % 600}" for j in range(10 * i, 10 * i + 40))) for i in range(300)]
+    data += [(1000, " ".join(f"a{j} b{j}" for j in range(40))), (1001, " ".join(f"a{j} b{j + 7}" for j in range(40)))]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string"), sweeps=1).collect()}
+    assert got[1000].base_score == pytest.approx(got[1001].base_score, rel=0.05) and got[1000].score > got[1001].score + 30
+
+
 def test_context_probabilities_sum_to_one():
     p = lm_scoring.seat_contexts(np.random.default_rng(1).poisson(3.0, (6, 40)).astype(float), 1.0, 6, 3)
     assert np.allclose(p.sum(axis=1), 1.0)
