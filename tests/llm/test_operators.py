@@ -248,6 +248,17 @@ def test_lm_learns_which_word_follows_a_rare_one(spark):
     assert got[1000].base_score == pytest.approx(got[1001].base_score, rel=0.05) and got[1000].score > got[1001].score + 30
 
 
+def test_lm_spells_long_words_to_their_end(spark):
+    r = random.Random(3)
+    junk = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    data = [(i, prose(i, 40)) for i in range(100)] + [(1000, junk[:500]), (1001, junk), (1002, "a" * 500)]
+    out = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]  # held out
+    data = data[:100] + [(i, t) for i, (_, t) in zip(out, data[100:], strict=True)]
+    got = {x.doc_id: x.score for x in lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string"), sweeps=1).collect()}
+    short, long, same = (got[i] for i in out)
+    assert short < -500 and long < 150 * short and np.isfinite(long) and same != pytest.approx(short, rel=1e-3)
+
+
 def test_context_probabilities_sum_to_one():
     p = lm_scoring.seat_contexts(np.random.default_rng(1).poisson(3.0, (6, 40)).astype(float), 1.0, 6, 3)
     assert np.allclose(p.sum(axis=1), 1.0)
