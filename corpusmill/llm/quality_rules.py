@@ -3,9 +3,9 @@
 zstandard's ratio (compressed bytes / bytes) is low for repetitive text and near 1 for text without
 structure (encoded data, keys, random symbols). What is normal depends on the length, since a short
 text leaves the compressor little to refer back to; so each length class has its own band. The whole
-text must lie inside the band of its length, and no more than ``max_bad_chunks`` of its fixed-size
-chunks may lie outside the band of theirs, which finds a repetitive or encoded stretch inside a
-long text whose overall ratio looks normal.
+text must lie inside the band of its length, and no more than ``max_bad_chunks`` of its bytes may lie in
+chunks outside the band of theirs, which finds a repetitive or encoded stretch inside a
+text whose overall ratio looks normal. Chunks have a fixed size, the last one what is left.
 
 Defined results: null text counts as empty and has no words, hence fails the base rule; the rows are
 independent, so ties and repeated rows get equal results; an empty table gives an empty result; only
@@ -38,8 +38,8 @@ class Bands:
         (4096, 0.22, 0.7),
         (32768, 0.18, 0.65),
     )
-    chunk_bytes: int = 4096
-    #: Share of a text's full chunks that may lie outside their band.
+    chunk_bytes: int = 1024
+    #: Share of a text's bytes whose chunks may lie outside their band.
     max_bad_chunks: float = 0.25
     level: int = 3
 
@@ -72,14 +72,16 @@ def ratio(packer: zstandard.ZstdCompressor, raw: bytes) -> float:
     return len(packer.compress(raw)) / max(1, len(raw))
 
 
-def compression(packer: zstandard.ZstdCompressor, raw: bytes, bands: Bands) -> tuple[float, int, int]:
-    """Ratio of the whole text, number of full chunks, number of those outside their band."""
-    whole = ratio(packer, raw)
-    size = bands.chunk_bytes
-    low, high = bands.of(size)
-    chunks = [raw[i : i + size] for i in range(0, len(raw) - size + 1, size)]
-    bad = sum(not low <= ratio(packer, c) <= high for c in chunks) if len(chunks) > 1 else 0
-    return whole, len(chunks), bad
+def compression(packer: zstandard.ZstdCompressor, raw: bytes, bands: Bands) -> tuple[float, int, int, int]:
+    """Ratio of the whole text, number of chunks, number of those outside the band of their length, and bytes in these."""
+    bad = size = 0
+    chunks = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw), bands.chunk_bytes)]
+    for c in chunks:
+        low, high = bands.of(len(c))
+        if not low <= ratio(packer, c) <= high:
+            bad += 1
+            size += len(c)
+    return ratio(packer, raw), len(chunks), bad, size
 
 
 SCHEMA = (
@@ -93,9 +95,9 @@ def judge(text: str | None, packer: zstandard.ZstdCompressor, bands: Bands) -> t
     raw = text.encode("utf-8", "surrogatepass")
     n, chars, symbols, dup_lines, repeated = counts(text)
     failed = n < 50 or 100 * repeated > 50 * n
-    whole, chunks, bad = compression(packer, raw, bands)
+    whole, chunks, bad, bad_bytes = compression(packer, raw, bands)
     low, high = bands.of(len(raw))
-    kept = not failed and low <= whole <= high and bad <= bands.max_bad_chunks * chunks
+    kept = not failed and low <= whole <= high and bad_bytes <= bands.max_bad_chunks * len(raw)
     return n, chars, symbols, dup_lines, repeated, failed, kept, whole, chunks, bad
 
 
