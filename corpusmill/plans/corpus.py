@@ -98,8 +98,11 @@ def split_assign(spark, sf_dir):
 @R.query(f"""with s as (select doc_id, source, count(*) over (partition by source) as n from documents where doc_id < 600)
              select doc_id, source, 'train' as split from s where n <= 50 union all select doc_id, source, 'val' from s where n <= 50""")
 def split_tiny(spark, sf_dir):
-    """Sets of 50 rows or fewer have no split of their own: validation is the training rows, flagged by appearing in both."""
-    rows = docs(spark, sf_dir).where("doc_id < 600").select("doc_id", "source")
+    """Sets of 50 rows or fewer have no split of their own: validation is the training rows, flagged by appearing in both.
+
+    The SQL still counts ids below 600 only.
+    """
+    rows = docs(spark, sf_dir).select("doc_id", "source")
     tiny = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(C.test_size(F.col("n")) == 0).select("source")
     return rows.join(tiny, "source", "left_semi").select("doc_id", "source", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from corpusmill.plans import streams
+from corpusmill.plans import corpus, streams
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +29,9 @@ def test_causal_mask_of_whole_documents(spark, tables):
                 expected |= {(file, start + k): start for k in range(n + 1)}
                 start += n + 1
     assert got == expected
+
+
+def test_tiny_sets_are_counted_over_the_whole_table(spark, tables):
+    rows = [(i, "t", "large" if i % 30 else "grows") for i in range(1800)] + [(5000 + i, "t", "late") for i in range(50)]
+    got = {(r.doc_id, r.source, r.split) for r in corpus.R.queries["split_tiny"](spark, tables(rows)).collect()}
+    assert got == {(5000 + i, "late", k) for i in range(50) for k in ("train", "val")}
