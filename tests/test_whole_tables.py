@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.functions import bpe
+from corpusmill.functions.text import words
 from corpusmill.plans import corpus, streams
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,3 +41,26 @@ def test_tiny_sets_are_counted_over_the_whole_table(spark, tables):
     rows = [(i, "t", "large" if i % 30 else "grows") for i in range(1800)] + [(5000 + i, "t", "late") for i in range(50)]
     got = {(r.doc_id, r.source, r.split) for r in corpus.R.queries["split_tiny"](spark, tables(rows)).collect()}
     assert got == {(5000 + i, "late", k) for i in range(50) for k in ("train", "val")}
+
+
+def test_merges_count_rare_words_too(spark):
+    """3,000 rare words share a pair that the 2,500 more frequent ones lack."""
+    r = random.Random(4)
+    found = Counter({"".join(r.choice("abcdefgh") for _ in range(7)): 2 for _ in range(2500)} | {"zq" + "".join(r.choice("abcdefgh") for _ in range(6)): 1 for _ in range(3000)} | {"aaaaa": 3})
+    df = spark.createDataFrame([(" ".join(found.elements()),)], "text string")
+    got = bpe.merges(bpe.word_counts(df, words(F.col("text"))), 12)
+    spelled, expected = [(list(w), n) for w, n in found.items()], []
+    for _ in range(12):
+        pairs = Counter()
+        for s, n in spelled:
+            for p in zip(s, s[1:], strict=False):
+                pairs[p] += n
+        (a, b), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        expected.append((a, b, n))
+        for s, _ in spelled:
+            i = 0
+            while i < len(s) - 1:
+                if (s[i], s[i + 1]) == (a, b):
+                    s[i : i + 2] = [a + b]
+                i += 1
+    assert got == expected and ("z", "q") == got[0][:2]
