@@ -201,7 +201,7 @@ TOPIC_TEXT = ["Business and music", "football in Africa", "health music", "about
 
 @R.query(f"select doc_id, {sql_case([(f'contains(t, $${k}$$)', f'$${v}$$') for k, v in [('business', 'business'), ('football', 'sports'), ('music', 'entertainment'), ('africa', 'politics'), ('afrikaan', 'politics')] + [(t, t) for t in X.TOPICS[1:]]], '$$unknown$$')} as topic from (select doc_id, lower([{', '.join(repr(t) for t in TOPIC_TEXT)}][doc_id % 6 + 1] || ' ' || substr(text, 1, 40)) as t from documents)")
 def assign_topic(spark, sf_dir):
-    said = F.concat(F.element_at(F.array(*map(F.lit, TOPIC_TEXT)), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 40))
+    said = F.concat(F.element_at(F.array(*map(F.lit, TOPIC_TEXT)), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" "), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", X.assign_topic(said).alias("topic"))
 
 
@@ -224,13 +224,13 @@ def lang_sanity(spark, sf_dir):
 
 @R.query(f"select doc_id, length({sql_strip('substr(text, 1, 2)')}) < 2 as too_short from documents")
 def min_length(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", (F.length(X.strip_spaces(F.substring("text", 1, 2))) < 2).alias("too_short"))
+    return docs(spark, sf_dir).select("doc_id", (F.length(X.strip_spaces(F.col("text"))) < 2).alias("too_short"))
 
 
 @R.query("""select doc_id, array_to_string(list_transform(c, lambda x, i: '[chunk ' || (i - 1) || ']' || chr(10) || x), chr(10) || chr(10)) as block
             from (select doc_id, string_split(text, chr(10))[1:3] as c from documents)""")
 def numbered_block(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", X.numbered_block(F.slice(F.split("text", "\n"), 1, 3)).alias("block"))
+    return docs(spark, sf_dir).select("doc_id", X.numbered_block(F.split("text", "\n")).alias("block"))
 
 
 @R.query("select format('{}__{}__{:05d}__{}', source, lang, doc_id, 'a') as custom_id from documents")
@@ -317,8 +317,10 @@ def gen_grid(spark, sf_dir):
             len(list_intersect(a, b)) as common, len(list_filter(a, lambda x: not list_contains(b, x))) = 0 as subset
             from (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[1:6] as a, regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[4:9] as b from documents)""".replace("\\\\", "\\"))
 def array_sets(spark, sf_dir):
-    w = X.words(F.col("text"))
-    rows = docs(spark, sf_dir).select("doc_id", F.slice(w, 1, 6).alias("a"), F.slice(w, 4, 6).alias("b"))
+    """The first and the last two thirds of a document's words (of nine words: 1 to 6 and 4 to 9, where the SQL stops)."""
+    rows = docs(spark, sf_dir).select("doc_id", X.words(F.col("text")).alias("w"))
+    third = F.floor(F.size("w") / 3).cast("int")
+    rows = rows.select("doc_id", F.slice("w", F.lit(1), F.size("w") - third).alias("a"), F.slice("w", third + 1, F.size("w")).alias("b"))
     sorted_join = lambda c: F.array_join(F.array_sort(c), ",")
     return rows.select(
         "doc_id", sorted_join(F.array_union("a", "b")).alias("all_words"), sorted_join(F.array_distinct("a")).alias("distinct_words"),

@@ -64,3 +64,14 @@ def test_merges_count_rare_words_too(spark):
                     s[i : i + 2] = [a + b]
                 i += 1
     assert got == expected and ("z", "q") == got[0][:2]
+
+
+def test_texts_are_read_to_their_end(spark, tables):
+    at = tables([(0, "   a normal text", "s"), (1, " \n ", "s"), (5, "word " * 20 + "about football", "s"), (11, "l0\nl1\nl2\nl3\nl4", "s"), (17, "a b c d e f g h i j k a", "s"), (23, "", "s")])
+    got = lambda name, column: {r.doc_id: r[column] for r in corpus.R.queries[name](spark, at).collect()}
+    assert got("min_length", "too_short") == {0: False, 1: True, 5: False, 11: False, 17: False, 23: True}
+    topics = got("assign_topic", "topic")
+    assert topics[5] == "sports" and topics[11] == "unknown"
+    assert got("numbered_block", "block")[11].endswith("\n\n[chunk 4]\nl4")
+    sets = {r.doc_id: tuple(r)[1:] for r in corpus.R.queries["array_sets"](spark, at).collect()}
+    assert sets[17] == ("a,b,c,d,e,f,g,h,i,j,k", "a,b,c,d,e,f,g,h", 5, False) and sets[23] == ("", "", 0, True)
