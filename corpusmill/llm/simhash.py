@@ -52,15 +52,16 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), set_bits.astype(np.uint64)), initial=np.uint64(0)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's bits as a signed long. With ``mark``, a long of each row, that too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "mark"][: batch.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    marks = [] if mark is None else [mark.alias("mark")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *marks).mapInArrow(run, "doc_id long, fp long" + ", mark long" * len(marks))
 
 
 def forest(left: np.ndarray, right: np.ndarray, radius: int, step: int = 256) -> list[tuple[int, int]]:
@@ -169,28 +170,37 @@ def near_links(fps: DataFrame, radius: int = 2, tile_rows: int = 1024) -> DataFr
     return tasks.repartition("key").sortWithinPartitions("key").mapInArrow(compare_tiles(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+def by_fingerprint(rows: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, fp) -> (fp, component, component_id): the component of each fingerprint, by its name and its smallest document id."""
     reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     linked = near_links(reps.select("fp"), radius)
     found = components(linked)
-    # Components are named by fingerprint so far; their id is the smallest document id of any member.
+    # Components are named by fingerprint; their id is the smallest document id of any member.
     named = reps.join(found, reps.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(ids, "component").select("fp", "component_id")
+    return named.join(ids, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    by_fp = by_fingerprint(rows, radius).select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns kept.
+    """``docs`` with one row of each component, the first by (id, fingerprint, text); all columns kept.
 
-    Rows without an id cannot be told apart and stay. Of rows that repeat an id, the smallest text stays.
+    Rows that repeat an id are told apart by their components. Rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
     rest = docs.where(F.col(id_col).isNull())
+    mark = F.xxhash64(text_col)  # tells the texts of one id apart
+    fps = materialise(fingerprints(docs, id_col, text_col, mark), "fingerprints")
+    found = by_fingerprint(fps.select("doc_id", "fp"), radius).select("fp", "component")
+    named = fps.where("doc_id is not null")
+    first = named.join(found, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.*")
+    stay = named.join(first, ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "mark", "fp").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
-    kept = named.join(stay, F.col("id") == F.col("__stay"), "left_semi").groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"), row.alias("row"))
+    kept = rows.join(stay, ["id", "mark"]).groupBy("id", "fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
     return kept.select("row.*").unionByName(rest)

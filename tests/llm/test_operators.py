@@ -311,6 +311,13 @@ def test_simhash(docs, empty):
     assert set(ids.values()) == {1} and ids.keys() - {None} == {r.component_id for r in got} - {None}
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c = prose(31, 90), prose(32, 90), prose(33, 90)
+    data = [(1, a), (5, b), (5, a), (5, c), (5, c.upper()), (7, b), (None, a)]
+    got = [(r.doc_id, r.text.lower()) for r in simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter([(1, a.lower()), (5, b.lower()), (5, c.lower()), (None, a.lower())])
+
+
 @pytest.mark.parametrize("tile", [3, 1024])
 def test_links_against_all_pairs(spark, tile):
     r = random.Random(5)
