@@ -53,10 +53,10 @@ def causal_pairs(tokens: DataFrame) -> DataFrame:
     return a.join(b, ["file", "doc_seq"]).where("j <= i").select("file", "i", "j")
 
 
-def causal_ranges(tokens: DataFrame) -> DataFrame:
-    """(file, i, first): the same mask without its pairs: position i may look at first to i. A row per token, however long a document is."""
-    first = tokens.groupBy("file", "doc_seq").agg(F.min("pos").alias("first"))
-    return tokens.select("file", "doc_seq", F.col("pos").alias("i")).join(first, ["file", "doc_seq"]).select("file", "i", "first")
+def causal_ranges(placed: DataFrame) -> DataFrame:
+    """(file, i, first) of documents with ``start`` and ``ids``, the end last: the same mask without its pairs: position i may look at first to i."""
+    end = F.col("start") + F.size("ids") - 1
+    return placed.select("file", F.explode(F.sequence(F.col("start"), end)).alias("i"), F.col("start").alias("first"))
 
 
 def windows(tokens: DataFrame, starts: DataFrame, length: int) -> DataFrame:

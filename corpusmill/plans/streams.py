@@ -116,7 +116,7 @@ PAIRS_BASE = TOK + ", s as (select file, doc_id, pos, row_number() over (partiti
 @R.query(PAIRS_BASE + " select a.file, a.pos as i, b.pos as j from s a join s b on a.file = b.file and a.doc_id = b.doc_id and b.pos <= a.pos where a.doc_id % 20 = 0 and a.k <= 24 and b.k <= 24")
 def doc_causal_pairs(spark, sf_dir):
     """Mask of all positions of all documents, as ranges: its pairs are quadratic. The SQL still gives pairs of a part of it."""
-    return K.causal_ranges(K.document_number(stream(spark, sf_dir)))
+    return K.causal_ranges(K.offsets(packed(spark, sf_dir)))
 
 
 WINDOW_STARTS = ", n as (select file, max(pos) + 1 as n from tok group by file), starts as (select file, k, (('0x' || substr(md5('11|' || file || '|' || k), 1, 8))::ubigint % (n - 65))::bigint as start from n, range(0, 4) r(k) where n > 65)"
