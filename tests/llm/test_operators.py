@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusmill.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from corpusmill.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
 from corpusmill.llm.components import components
 from corpusmill.llm.queries import tokenizer_path
 
@@ -229,69 +228,6 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.classify(docs).count() == len(rows()) and quality_classifier.classify(empty).count() == 0
 
 
-# ---- 8 ------------------------------------------------------------------------------------------
-
-
-def test_lm_base_scores(spark, docs, empty):
-    data = [(r[0], r[1]) for r in rows()] + [(100 + i, prose(i, 40)) for i in range(150)]
-    got = lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string"), sweeps=2, lookup=50, heads=30, contexts=10).collect()
-    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    count = Counter(w for i, t in data if not out(i) for w in [*words(t), None])
-    n, v = sum(count.values()), len(count)
-    expected = Counter()
-    for i, t in data:
-        w = [*words(t), None]
-        expected[i, out(i), len(w), sum(x in count for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
-    assert all(r.score < 0 for r in got)
-    junk, known = next(r for r in got if r.doc_id == 19), next(r for r in got if r.doc_id == 102)
-    assert junk.score / junk.n_tokens < 0 and known.score / known.n_tokens > -4
-    assert lm_scoring.score(empty).count() == 0
-
-
-def test_lm_learns_which_word_follows_a_rare_one(spark):
-    """Each word is rare, but its follower is certain; in the second text each word has another's follower."""
-    data = [(i, " ".join(f"a{j % 600} b{j % 600}" for j in range(10 * i, 10 * i + 40))) for i in range(300)]
-    data += [(1000, " ".join(f"a{j} b{j}" for j in range(40))), (1001, " ".join(f"a{j} b{j + 7}" for j in range(40)))]
-    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string"), sweeps=1).collect()}
-    assert got[1000].base_score == pytest.approx(got[1001].base_score, rel=0.05) and got[1000].score > got[1001].score + 30
-
-
-def test_lm_spells_long_words_to_their_end(spark):
-    r = random.Random(3)
-    junk = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
-    data = [(i, prose(i, 40)) for i in range(100)] + [(1000, junk[:500]), (1001, junk), (1002, "a" * 500)]
-    out = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]  # held out
-    data = data[:100] + [(i, t) for i, (_, t) in zip(out, data[100:], strict=True)]
-    got = {x.doc_id: x.score for x in lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string"), sweeps=1).collect()}
-    short, long, same = (got[i] for i in out)
-    assert short < -500 and long < 150 * short and np.isfinite(long) and same != pytest.approx(short, rel=1e-3)
-
-
-def test_context_probabilities_sum_to_one():
-    p = lm_scoring.seat_contexts(np.random.default_rng(1).poisson(3.0, (6, 40)).astype(float), 1.0, 6, 3)
-    assert np.allclose(p.sum(axis=1), 1.0)
-
-
-def test_spelling_probabilities_sum_to_one():
-    letters = lm_scoring.spelled([w.encode() for w in VOCAB])
-    codes = np.unique(np.concatenate([[0], *(lm_scoring.coded(k, letters[2]) for k in range(1, 3))]))
-    model = lm_scoring.Spelling(codes, np.zeros((0, 256), np.float32))
-    customers = np.zeros((len(codes), 256))
-    np.add.at(customers, (model.rows(letters[2]), letters[1]), 1)
-    assert np.allclose(lm_scoring.seat_letters(codes, customers, 1.0, 3, 1).probability.sum(axis=1), 1.0, atol=1e-4)
-
-
-def test_seating_follows_the_restaurant_process():
-    n, a, d = 4000, 2.0, 0.5
-    got = lm_scoring.seat(np.full(n, 120), np.full(n, a), d, np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    rng = np.random.default_rng(0)
-    tables = np.ones(n)
-    for k in range(1, 120):
-        tables += rng.random(n) < a / (a + k - d * tables)
-    assert got.mean() == pytest.approx(tables.mean(), rel=0.03)
-
-
 # ---- 9 ------------------------------------------------------------------------------------------
 
 
