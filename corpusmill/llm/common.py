@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,17 @@ class Workspace:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever it holds, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` that keeps the columns of ``docs``; inside they go by position, so names may hold dots and the like."""
+    named = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does just that on a pure ASCII string, at a fraction of the cost."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_lower
+from corpusmill.llm.common import ascii_lower, quoted
 
 
 def content_hash(text: Column) -> Column:
@@ -72,7 +72,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     order = F.struct(F.col(id_col), F.col(text_col))
     pick = F.max_by if keep == "largest" else F.min_by
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     return (
         docs.select(content_hash(norm).alias("digest"), norm.alias("norm"), row.alias("row"), order.alias("order"))
         .groupBy("digest", "norm")

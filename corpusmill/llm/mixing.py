@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import quoted
+
 
 def uniform(seed: int, *parts: Column) -> Column:
     """52 bits of a hash as a number in [0, 1)."""
@@ -108,6 +110,6 @@ def mix(
     keyed = copies.withColumn("__key", F.substring(hashed(seed, F.col(id_col), F.col("__copy")), 1, 16))
     mixed = keyed.repartition("__key").sortWithinPartitions("__key", "__copy", id_col)
     if not added:
-        return mixed.select(*docs.columns)
+        return mixed.select(*map(quoted, docs.columns))
     names = {"repetitions": "__repetitions", "copy": "__copy", "shuffle_key": "__key"}
-    return mixed.select(*[c for c in docs.columns if c not in names], *[F.col(own).alias(name) for name, own in names.items()])
+    return mixed.select(*[quoted(c) for c in docs.columns if c not in names], *[F.col(own).alias(name) for name, own in names.items()])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialise
+from corpusmill.llm.common import materialise, quoted
 from corpusmill.llm.components import components
 
 BITS = 64
@@ -200,7 +200,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = fps.where("doc_id is not null")
     first = named.join(found, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.*")
     stay = named.join(first, ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "mark", "fp").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"), row.alias("row"))
     kept = rows.join(stay, ["id", "mark"]).groupBy("id", "fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
     return kept.select("row.*").unionByName(rest)
