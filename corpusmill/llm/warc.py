@@ -13,8 +13,8 @@ reads an archive in few, sorted requests. Every payload is checked against its d
 Archives are opened through Arrow's file systems, so the shared folder may be local, HDFS or an object store.
 
 Defined results: null html is an empty payload, null url an empty one; line breaks in a URL are
-percent-encoded; rows that repeat the largest id of their group are each a response; where all ids of
-a group are null every row is a response; an empty table gives an empty result; extra columns are not read.
+percent-encoded; rows that repeat the largest id of their group are each a response; a null id is smaller than any other, so its
+row revisits the largest; where all ids of a group are null every row is a response; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -81,10 +81,12 @@ def parse(raw: bytes) -> tuple[int | None, str, str, int | None, int, str, bytes
 
 
 def revisits(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that repeat another's payload; SHA-256 decides what is equal."""
+    """(page_id, content, refers_to) of the pages that repeat another's payload; SHA-256 decides what is equal."""
     long = pages.where(F.octet_length("html") >= revisit_bytes).select("page_id", F.sha2("html", 256).alias("content"))
-    groups = long.groupBy("content").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
-    return long.join(groups.drop("least"), "content").where("page_id <> refers_to").select("page_id", "content", "refers_to").distinct()
+    largest = F.max("page_id")
+    several = (F.min("page_id") < largest) | (F.count(F.lit(1)) > F.count("page_id"))  # a null id is smaller than any
+    groups = long.groupBy("content").agg(largest.alias("refers_to"), several.alias("several")).where("several and refers_to is not null")
+    return long.join(groups.drop("several"), "content").where("not page_id <=> refers_to").select("page_id", "content", "refers_to").distinct()
 
 
 def write_archives(
@@ -94,7 +96,9 @@ def write_archives(
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     again = materialise(revisits(own, revisit_bytes), "revisits")
     again = F.broadcast(again) if again.count() <= broadcast_rows else again
-    told = own.withColumn("content", F.when(F.octet_length("html") >= revisit_bytes, F.sha2("html", 256))).join(again, ["page_id", "content"], "left")
+    again = again.select(F.col("page_id").alias("again"), F.col("content").alias("same"), "refers_to")
+    told = own.withColumn("content", F.when(F.octet_length("html") >= revisit_bytes, F.sha2("html", 256)))
+    told = told.join(again, (F.col("content") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("again")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(folder)
