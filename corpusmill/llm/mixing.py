@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import quoted
 
 
+RUN = 4096  # copies exploded at once
+
+
 def uniform(seed: int, *parts: Column) -> Column:
     """52 bits of a hash as a number in [0, 1)."""
     return F.conv(F.substring(hashed(seed, *parts), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -36,30 +39,55 @@ def hashed(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def distribution(rate: float) -> list[float]:
-    """Poisson's distribution function at 0, 1, ... up to a tail below double precision."""
+def distribution(rate: float) -> tuple[int, list[float]]:
+    """Poisson's distribution function at ``first``, ``first`` + 1, ... up to a tail below double precision, and ``first``.
+
+    A high rate starts 12 standard deviations below it, where less than double precision lies, so the list grows with the square root of the rate."""
     if rate <= 0:
-        return [1.0]
-    found, log_p, total = [], -rate, 0.0
-    for k in range(int(rate + 12 * math.sqrt(rate)) + 30):
-        if k:
-            log_p += math.log(rate) - math.log(k)
+        return 0, [1.0]
+    first = int(rate - 12 * math.sqrt(rate)) if rate >= 400 else 0
+    log_p = -rate
+    if first:  # Stirling's series for the factorial
+        log_p += first * (math.log(rate) - math.log(first) + 1) - math.log(2 * math.pi * first) / 2 - 1 / (12 * first) + 1 / (360 * first**3)
+    total = math.exp(log_p)
+    found = [total]
+    for k in range(first + 1, int(rate + 12 * math.sqrt(rate)) + 30):
+        log_p += math.log(rate) - math.log(k)
         total += math.exp(log_p)
         found.append(total)
-    return found
+    return first, found
 
 
 def distribution_column(rate: Column) -> Column:
-    """The same as ``distribution``, as an array column."""
-    last = (rate + 12 * F.sqrt(rate)).cast("int") + 29
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("total"), F.array(F.exp(-rate)).alias("found"))
+    """The same as ``distribution``, as a struct column."""
+    first = F.when(rate >= 400, (rate - 12 * F.sqrt(rate)).cast("long")).otherwise(0)
+    last = (rate + 12 * F.sqrt(rate)).cast("long") + 29
+    n = first.cast("double")
+    stirling = n * (F.log(rate) - F.log(n) + 1) - F.log(2 * math.pi * n) / 2 - 1 / (12 * n) + 1 / (360 * n * n * n)
+    begin = -rate + F.when(first > 0, stirling).otherwise(0.0)
+    start = F.struct(begin.alias("log_p"), F.exp(begin).alias("total"), F.array(F.exp(begin)).alias("found"))
 
     def step(acc: Column, k: Column) -> Column:
         log_p = acc["log_p"] + (F.log(rate) - F.log(k.cast("double")))
         total = acc["total"] + F.exp(log_p)
         return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(acc["found"], F.array(total)).alias("found"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["found"])).otherwise(F.array(F.lit(1.0)))
+    some = F.struct(first.cast("long").alias("first"), F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: acc["found"]).alias("cdf"))
+    return F.when(rate > 0, some).otherwise(F.struct(F.lit(0).cast("long").alias("first"), F.array(F.lit(1.0)).alias("cdf")))
+
+
+def drawn(poisson: Column, u: Column) -> Column:
+    """The number whose step of the distribution function ``u`` falls in, found by halving."""
+    cdf = poisson["cdf"]
+    start = F.struct(F.lit(0).alias("low"), F.size(cdf).alias("high"))  # entries before ``low`` are at most u, those from ``high`` on above it
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = F.get(cdf, mid) <= u
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(F.struct(F.when(below, mid + 1).otherwise(acc["low"]).alias("low"), F.when(below, acc["high"]).otherwise(mid).alias("high")))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cdf).cast("double"))).cast("int") + 1)
+    return (poisson["first"] + F.aggregate(rounds, start, halve, lambda acc: acc["low"])).cast("int")
 
 
 def weight_column(source: Column, weights: dict[str, float], default: float) -> Column:
@@ -73,22 +101,21 @@ def counts(docs: DataFrame, weights: dict[str, float], default: float, epochs: f
     """``docs`` with the column ``__repetitions``."""
     source = F.col(source_col).cast("string")
     sizes = docs.groupBy(source.alias("__source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("__size"))
-    drawn = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).alias("__repetitions")
     known = sizes.limit(broadcast_sources + 1).collect()
     if len(known) <= broadcast_sources:
         weight = {r["__source"]: float(weights.get(r["__source"], default)) for r in known if r["__size"]}
         total, shares = sum(r["__size"] for r in known), sum(weight.values())
         rates = [(r["__source"], distribution(epochs * total * weight[r["__source"]] / shares / r["__size"] if r["__size"] else 0.0)) for r in known]
-        table = docs.sparkSession.createDataFrame(rates, "__source string, __cdf array<double>")
+        table = docs.sparkSession.createDataFrame(rates, "__source string, __poisson struct<first: long, cdf: array<double>>")
         with_u = docs.withColumn("__u", uniform(seed, F.col(id_col)))
         joined = with_u.join(F.broadcast(table), source.eqNullSafe(F.col("__source")))
-        return joined.withColumn("__repetitions", drawn).drop("__source", "__cdf", "__u")
+        return joined.withColumn("__repetitions", drawn(F.col("__poisson"), F.col("__u"))).drop("__source", "__poisson", "__u")
     weighed = sizes.where("__size > 0").withColumn("__weight", weight_column(F.col("__source"), weights, default))
     totals = sizes.agg(F.sum("__size").alias("__total")).crossJoin(weighed.agg(F.sum("__weight").alias("__shares")))  # one row by one row
     rate = F.lit(float(epochs)) * F.col("__total") * F.col("__weight") / F.col("__shares") / F.col("__size")
-    table = weighed.crossJoin(F.broadcast(totals)).select("__source", distribution_column(rate).alias("__cdf"))
+    table = weighed.crossJoin(F.broadcast(totals)).select("__source", distribution_column(rate).alias("__poisson"))
     ids = docs.select(F.col(id_col).alias("__id"), source.alias("__of")).distinct().withColumn("__u", uniform(seed, F.col("__id")))
-    draws = ids.join(table, F.col("__of").eqNullSafe(F.col("__source"))).select("__id", "__of", drawn)
+    draws = ids.join(table, F.col("__of").eqNullSafe(F.col("__source"))).select("__id", "__of", drawn(F.col("__poisson"), F.col("__u")).alias("__repetitions"))
     return docs.join(draws, F.col(id_col).eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__of"))).drop("__id", "__of")
 
 
@@ -105,8 +132,10 @@ def mix(
     added: bool = True,
 ) -> DataFrame:
     """Every copy of every document, shuffled; all columns of ``docs`` and repetitions, copy, shuffle_key."""
-    drawn = counts(docs, weights, default, epochs, seed, broadcast_sources, id_col, text_col, source_col).where("__repetitions > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repetitions"))))
+    met = counts(docs, weights, default, epochs, seed, broadcast_sources, id_col, text_col, source_col).where("__repetitions > 0")
+    runs = met.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("__repetitions") - 1) / RUN).cast("int"))))
+    of_run = F.sequence(F.col("__run") * RUN + 1, F.least((F.col("__run") + 1) * RUN, F.col("__repetitions")))
+    copies = runs.withColumn("__copy", F.explode(of_run)).drop("__run")
     keyed = copies.withColumn("__key", F.substring(hashed(seed, F.col(id_col), F.col("__copy")), 1, 16))
     mixed = keyed.repartition("__key").sortWithinPartitions("__key", "__copy", id_col)
     if not added:
