@@ -4,10 +4,11 @@ Overlapping heuristic labellers vote good, bad or abstain on every whole text. A
 3^L patterns; the counts of patterns over all texts are all that expectation-maximisation needs. It
 estimates, for both hidden classes, how often each labeller votes bad, and the posterior of every pattern. A hashed linear scorer (byte trigrams in 2^16 buckets, square-root counts of unit
 length) is then trained by logistic regression on the posterior labels of about ``sample`` texts, chosen by a
-hash of their id: that bound is a parameter. Every whole text is scored.
+hash of their id and text. Their features are computed where the texts are; in the order of that hash, as many as hold
+``sample_features`` features in all reach the driver (each takes 8 bytes, some 50 MB for 10,000 ordinary texts): both bounds are parameters. Every whole text is scored.
 
 Defined results: null text counts as empty: its labellers abstain or vote as on empty text; a null id
-hashes as the empty string; repeated rows get equal results; an empty table gives an empty result; other columns
+hashes as the empty string; repeated rows get equal results and count once in the sample; an empty table gives an empty result; other columns
 are not read. Ties (score exactly 0.5) are kept.
 """
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import materialise
+
 BUCKETS = 1 << 16
 LABELLERS = ("length", "symbols", "capitals", "lines", "windows", "word_length", "sentences", "shouting", "clean_words")
 GOOD, ABSTAIN, BAD = 2, 1, 0
@@ -118,7 +121,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds:
     return w, bias
 
 
-def classify(docs: DataFrame, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, sample: int = 10_000, sample_features: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, weak_label (posterior of the votes), score and kept for every text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -135,15 +138,24 @@ def classify(docs: DataFrame, sample: int = 10_000, id_col: str = "doc_id", text
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(0)]
+            texts = [x.as_py() for x in batch.column(1)]
             found = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32())), pa.array([good[pattern(votes(t))] for t in texts], pa.float64())],
-                names=["buckets", "weights", "target"],
-            )
-
-    chosen = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20))
-    taken = rows.where(chosen).limit(2 * sample).select("text").mapInArrow(featurise, "buckets array<int>, weights array<float>, target double").toArrow()
+                [
+                    batch.column(0), pa.array([len(b) for b, _ in found], pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int32())),
+                    pa.array([w for _, w in found], pa.list_(pa.float32())), pa.array([good[pattern(votes(t))] for t in texts], pa.float64()),
+                ],
+                names=["key", "size", "buckets", "weights", "target"],
+            )
+
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    chosen = F.pmod(key, F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20))
+    drawn = rows.select(key.alias("key"), "text").where(chosen.cast("boolean")).dropDuplicates(["key"])
+    found = materialise(drawn.mapInArrow(featurise, "key long, size long, buckets array<int>, weights array<float>, target double"), "features")
+    sizes = found.select("key", "size").orderBy("key").limit(2 * sample).toArrow()
+    fits = np.flatnonzero(np.cumsum(sizes["size"].to_numpy()) <= sample_features)
+    last = sizes["key"][int(fits[-1])].as_py() if len(fits) else -(1 << 63)
+    taken = found.where(F.col("key") <= last).orderBy("key").toArrow()
     pairs = [(b.values.to_numpy(), w.values.to_numpy()) for b, w in zip(taken["buckets"], taken["weights"], strict=True) if len(b)]
     target = np.array([t for b, t in zip(taken["buckets"], taken["target"].to_numpy(), strict=True) if len(b)])
     w, bias = train(pairs, target)
