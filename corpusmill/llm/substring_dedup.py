@@ -124,20 +124,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the words of their spans; white space around what stays is kept."""
-    cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    names = docs.columns
+    """``docs`` without the words of their spans; white space around what stays is kept.
+
+    Rows without an id keep their text, and so do rows that repeat an id, since a span does not say which of them it is in."""
+    k, own = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    cuts = spans.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
+    named, name = docs.toDF(*own), own[docs.columns.index(id_col)]
+    repeated = named.groupBy(F.col(name).alias("cut_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cut_id")
+    cuts = cuts.join(repeated, "cut_id", "left_anti")
+    joined = named.join(cuts, F.col(name) == F.col("cut_id"), "left").select(*own, "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            texts = [_without(t.as_py(), c.as_py()) for t, c in zip(batch.column(k), batch.column(batch.num_columns - 1), strict=True)]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            texts = [_without(t.as_py(), c.as_py()) for t, c in zip(batch.column(k), batch.column(len(own)), strict=True)]
+            columns = batch.columns[: len(own)]
             columns[k] = pa.array(texts, batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=own)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, named.schema).toDF(*docs.columns)
 
 
 def _without(text: str | None, cuts: list[dict] | None) -> str | None:
