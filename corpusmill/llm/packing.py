@@ -6,9 +6,10 @@ remaining capacity finds that window. Documents are packed in blocks as their pa
 so nothing is shuffled, memory holds one block, and a lost task repeats only its own partition. A
 block of thousands of documents leaves little padding; only its last few windows stay part empty.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its words
-put together. Ids are cached by word in each Python worker, in two generations of bounded size: when the
-young one is full it becomes the old one, so frequent words stay.
+A tokenizer whose file says that it drops white space, never joins across it, and splits and lower-cases as
+WORD_SETTINGS has it, gives a text the ids of its words put together; then ids are cached by word in each Python worker,
+in two generations of bounded size: when the young one is full it becomes the old one, so frequent words stay. Any
+other tokenizer encodes whole texts.
 
 Defined results: null text counts as empty and has the closing id alone; repeated rows are packed
 each on their own, as pieces of equal doc_id; null ids stay null; an empty table gives an empty result; other
@@ -17,6 +18,7 @@ columns are not read. sequence_id numbers are unique, from the partition and a c
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -85,7 +87,20 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
 
 
 #: How the tokenizer splits lower-cased text before it merges (white space goes): fixed values.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a tokenizer file must say for its texts to be taken word by word: fixed values.
+WORD_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
 LATIN = 0x180  # below, each letter lower-cases on its own
 
 
@@ -95,6 +110,15 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+def word_by_word(path: str) -> bool:
+    """Whether the file's settings are those of WORD_SETTINGS, its special tokens begin with ``<|`` and its merges are certain."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = found["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("continuing_subword_prefix")
+    return plain and all(found.get(k) == v for k, v in WORD_SETTINGS.items()) and all(t["content"].startswith("<|") for t in found["added_tokens"])
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, cached by word and piece.
 
@@ -108,6 +132,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.by_word = word_by_word(path)
         self.merge = self.tokenizer.model.tokenize
         self.pieces = regex.compile(PIECES).findall
         self.letters = byte_letters()
@@ -116,7 +142,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
-        if b"<|" in raw:  # may hold special tokens, which are looked for before all else
+        if not self.by_word or b"<|" in raw:  # may hold special tokens, which are looked for before all else
             return self.whole(raw)
         # Unless a combining mark follows, an ASCII letter may be lower-cased before the rest.
         words = (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
