@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -128,6 +129,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_null_ids_revisit_the_largest(spark):
+    big, other = "b" * 1500, "o" * 1500
+    pages = [(None, "u", big), (7, "u", big), (3, "u", big), (None, "u", other), (None, "v", other), (9, "u", "small"), (None, "u", "small")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter(
+        [(None, 1500, "revisit", 7), (7, 1500, "response", None), (3, 1500, "revisit", 7), *[(None, 1500, "response", None)] * 2, (9, 5, "response", None), (None, 5, "response", None)]
+    )
+
+
 def test_byte_runs_merge_neighbours():
     assert [(f, s, e, len(r)) for f, s, e, r in warc.byte_runs(iter([("a", 0, 5), ("a", 5, 5), ("a", 30, 5), ("b", 0, 5)]), 10, 100)] == [("a", 0, 10, 2), ("a", 30, 35, 1), ("b", 0, 5, 1)]
 
@@ -152,10 +162,27 @@ def test_mixing_paths_agree_and_reach_their_weights(spark, docs, empty):
 
 
 def test_poisson_distribution():
-    for rate in (0.01, 1.0, 7.5, 900.0):
-        d = mixing.distribution(rate)
-        mean = sum(1 - p for p in d)
-        assert mean == pytest.approx(rate, rel=1e-6) and d[-1] == pytest.approx(1.0)
+    for rate in (0.01, 1.0, 7.5, 390.0, 900.0, 1e6):
+        first, d = mixing.distribution(rate)
+        mean = first + sum(1 - p for p in d)
+        assert mean == pytest.approx(rate, rel=1e-6) and d[-1] == pytest.approx(1.0) and len(d) < 40 * rate**0.5 + 60
+    assert mixing.distribution(0.0) == (0, [1.0])
+
+
+def test_mixing_repeats_a_tiny_source_often(spark):
+    """One letter against 20,000 texts: a rate of about a million, on both paths."""
+    df = spark.createDataFrame([(i, "x" * 50, "hot") for i in range(20_000)] + [(-1, "y", "tiny")], "doc_id long, text string, source string")
+    for most in (100_000, 0):
+        got = mixing.mix(df, {}, epochs=0.2, broadcast_sources=most).where("source = 'tiny'").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last"), F.first("repetitions").alias("r")).first()
+        assert got.n == got.copies == got.last == got.r == pytest.approx(100_000, rel=0.02)
+
+
+def test_mixing_counts_invert_the_distribution(spark):
+    u = [k / 997 for k in range(997)]
+    for rate in (0.3, 4.0, 700.0):
+        first, d = mixing.distribution(rate)
+        table = spark.createDataFrame([(x, (first, d)) for x in u], "u double, p struct<first: long, cdf: array<double>>")
+        assert [r.n for r in table.select(mixing.drawn(F.col("p"), F.col("u")).alias("n")).collect()] == [first + sum(c <= x for c in d) for x in u]
 
 
 # ---- 5 ------------------------------------------------------------------------------------------
@@ -178,6 +205,21 @@ def test_substring_dedup_finds_passages_and_leaves_the_rest(spark, docs, empty):
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_spans_leave_rows_they_cannot_name(spark):
+    """Nulls, repeated ids, and columns named like the operator's own."""
+    passage = prose(60, 80)
+    data = [(1, prose(61, 50) + " " + passage), (2, prose(62, 50) + " " + passage), (None, passage), (3, None), (4, passage), (4, prose(63, 90) + " " + passage)]
+    df = spark.createDataFrame([(i, t, "mine", [1], "x") for i, t in data], "doc_id long, text string, __id string, cuts array<int>, `a.b` string")
+    spans = substring_dedup.repeated_spans(df)
+    assert {r.doc_id for r in spans.collect()} == {2, 4}
+    got = substring_dedup.remove_spans(df, spans)
+    assert got.columns == df.columns
+    left = Counter((r.doc_id, r.text) for r in got.collect() if r.doc_id != 2)
+    assert left == Counter(x for x in data if x[0] != 2)
+    cut = next(r.text for r in got.collect() if r.doc_id == 2)
+    assert data[1][1].startswith(cut[:200]) and len(words(cut)) < 50 + 30
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     a = words(prose(1, 500))
     owner, start, n, digest = substring_dedup.chunk([a, [], [b"new", *a], [b"w"] * 1000])
@@ -322,6 +364,26 @@ def test_word_tokenizer_equals_the_whole_tokenizer():
         assert mine.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_any_other_tokenizer_encodes_whole_texts(docs, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    assert packing.word_by_word(tokenizer_path()) and not packing.word_by_word(path)
+    expected = Counter((r[0], len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1, zlib.crc32(np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in rows())
+    got = packing.with_digest(packing.pack(docs, path, size=1 << 20)).collect()
+    assert Counter((p.doc_id, p.doc_tokens, p.ids_crc32) for p in got) == expected
+    changed = json.load(open(tokenizer_path()))
+    changed["normalizer"]["normalizers"].pop()  # no longer lower-cases
+    own = tmp_path / "cased.json"
+    own.write_text(json.dumps(changed))
+    cased = Tokenizer.from_file(str(own))
+    text = "Don't SHOUT, Anna"
+    assert packing.WordTokenizer(str(own)).encode(text) == np.array(cased.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 
@@ -341,3 +403,102 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.columns == documents.columns and {r.doc_id for r in mixed.collect()} <= before
     total = sum(len(packing.WordTokenizer(tokenizer_path()).encode(r.text)) // 4 + 1 for r in mixed.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == total
+
+
+def test_pipeline_stages_take_awkward_tables(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names; and an empty table."""
+    data = [(i, t, None if i % 3 else "en", None if i % 4 else "src0", None) for i, t in enumerate(TEXTS)]
+    data += [(i, prose(200 + i, 400), "en", "src1", 1) for i in range(100, 140)] + [data[0], (None, prose(300, 200), None, None, None), (200, prose(301, 120_000), "en", "src2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    wide = schema + ", kept boolean, `a.b` string, fp long, digest string, copy int, repetitions int, __id long, id long, mark long, row string"
+    full = spark.createDataFrame([(*r, None, "x", 1, None, 5, 6, 7, 8, 9, "row") for r in data], wide).repartition(3)
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/nowhere")
+            if name == "packing":
+                assert out.count() >= docs.count()
+            else:
+                assert out.columns == docs.columns, name
+                n, ids = docs.count(), {r.doc_id for r in docs.select("doc_id").collect()}
+                kept = out.collect()
+                assert {r.doc_id for r in kept} <= ids and (name == "mixing" or len(kept) <= n), name
+                assert all(r["a.b"] == "x" and r["copy"] == 5 for r in kept)
+                if n and name == "quality_rules":
+                    assert {200, *range(100, 140)} <= {r.doc_id for r in kept}
+                docs = spark.createDataFrame(kept, docs.schema) if kept else docs.limit(0)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """The rows of run() from plain loops over the operators' own decisions, stage by stage."""
+    from corpusmill.llm.queries import MIX_WEIGHTS
+
+    clean = [(i, prose(400 + i // 3 if i % 9 == 0 else 900 + i, 150 + i % 60), "en", f"src{i % 4}", 1) for i in range(90)]
+    near = [(200 + i, clean[i][1].replace(" ", "  ", 1) + (" tail" if i % 2 else ""), "en", "src1", 1) for i in range(0, 20, 2)]
+    bad = [(300 + i, "same words again " * 40, "en", "src2", 1) for i in range(5)] + [(400, None, None, None, None)]
+    data = clean + near + bad
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    judged = {r.doc_id: r.kept for r in quality_rules.measure(spark.createDataFrame(data, schema)).collect()}
+    rows_ = [r for r in data if judged[r[0]]]
+    seen, exact = set(), []
+    for r in sorted(rows_):
+        if lowered(r[1]) not in seen:
+            seen.add(lowered(r[1]))
+            exact.append(r)
+    fps = [brute_fingerprint(r[1]) for r in exact]
+    group = list(range(len(exact)))
+    for _ in exact:
+        group = [min(group[b] for b in range(len(exact)) if bin(fps[a] ^ fps[b]).count("1") <= 2) for a in range(len(exact))]
+    alone = [r for a, r in enumerate(exact) if group[a] == a]
+    size = Counter()
+    for r in alone:
+        size[r[3]] += len(r[1])
+    weight = {s: MIX_WEIGHTS.get(s, 1.0) for s in size}
+    expected = Counter()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    for i, text, _, s, _ in alone:
+        first, d = mixing.distribution(sum(size.values()) * weight[s] / sum(weight.values()) / size[s])
+        u = int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        for a in range(0, len(ids), 2048):
+            piece = ids[a : a + 2048]
+            expected[i, a, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)] += first + sum(c <= u for c in d)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == +expected
+    for _, pieces in groupby(sorted((r.sequence_id, r.offset, r.length) for r in got), key=lambda x: x[0]):
+        end = 0
+        for _, offset, length in pieces:
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
+def test_language_id_takes_awkward_tables(spark):
+    """Repeated rows, null ids, very long texts, extra columns."""
+    r = random.Random(2)
+    syllables = {"aa": ["tion", "the", "ing"], "bb": ["que", "eau", "oix"]}
+    data = [(i, " ".join("".join(r.choice(syllables[k]) for _ in range(2)) for _ in range(12)), k) for i, k in enumerate(r.choice(list(syllables)) for _ in range(40))]
+    data += [(900, None, "aa"), (901, "", "bb"), (902, "tionthe " * 20_000, None), data[0], (None, "queeau oix", "bb"), (903, "12 34", "aa"), (904, "ÉÀ the", None)]
+    df = spark.createDataFrame([(i, t, k, 1.0, "x") for i, t, k in data], "doc_id long, text string, lang string, score double, `a.b` string").repartition(3)
+    got = Counter((x.doc_id, x.held_out, x.lang_pred, round(x.score, 5)) for x in language_id.identify(df).collect())
+    assert sum(got.values()) == len(data)
+    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0
+    assert Counter(x[:2] for x in got.elements()) == Counter((i, out(i)) for i, *_ in data)
+    for i, t, k in data:
+        pred = {p for d, _, p, _ in got if d == i}
+        assert pred == ({"und"} if not any(c.isalpha() for c in t or "") else {k} if k and out(i) else pred) and pred <= {"und", "aa", "bb"}
+    assert {p for d, _, p, _ in got if d == 902} == {"aa"}
+
+
+def test_classifier_takes_awkward_tables(spark, docs):
+    """A third of all rows are copies with one id; the sample counts them once, and every row has its verdict."""
+    data = [(i, prose(i, 60)) for i in range(200)] + [(1000 + i, prose(i, 60).upper().replace(" ", "!! ")) for i in range(60)] + [(5000, prose(7, 80))] * 130 + [(6000, prose(8, 20_000)), (None, None)]
+    df = spark.createDataFrame([(i, t, False, "x") for i, t in data], "doc_id long, text string, kept boolean, `a.b` string").repartition(3)
+    for features in (20_000_000, 20_000, 0):
+        got = quality_classifier.classify(df, sample_features=features).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data) and len({r.score for r in got if r.doc_id == 5000}) == 1
+        if features:
+            assert np.mean([r.kept == (r.doc_id < 1000 or r.doc_id > 2000) for r in got if r.doc_id is not None]) > 0.95
+    assert Counter(r.doc_id for r in quality_classifier.classify(docs).collect()) == Counter(r[0] for r in rows())
