@@ -32,18 +32,20 @@ def test_size(n: Column) -> Column:
 def split(df: DataFrame, group: str, row_id: str, seed: int = 2357) -> DataFrame:
     """Adds ``split``: the rows of each group with the smallest seeded hashes are 'val', as many as test_size says.
 
-    The boundary of each group is one percentile-like cut on (hash, id), found by a window over hashes in
-    1,024 buckets; only the bucket that holds the boundary is ranked row by row.
+    Counts of hashes in 1,024 buckets say on which side of the boundary a bucket lies; only rows of the bucket
+    that holds it are shuffled and ranked.
     """
     buckets = 1024
     rows = df.withColumn("__u", hash01(F.lit(str(seed)), F.col(row_id).cast("string"))).withColumn("__b", F.floor(F.col("__u") * buckets))
     sizes = rows.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
     whole, before = Window.partitionBy("__g"), Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     cuts = sizes.select("__g", "__c", "__n", test_size(F.sum("__n").over(whole)).alias("__want"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    cuts = cuts.select("__g", "__c", "__want", "__before", F.when(F.col("__before") + F.col("__n") <= F.col("__want"), "val").when(F.col("__before") >= F.col("__want"), "train").alias("__side"))
     joined = rows.join(cuts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__c")))
     rank = F.row_number().over(Window.partitionBy("__g", "__c").orderBy("__u", row_id))
-    val = F.when(F.col("__before") + F.col("__n") <= F.col("__want"), True).when(F.col("__before") >= F.col("__want"), False).otherwise(F.col("__before") + rank <= F.col("__want"))
-    return joined.withColumn("split", F.when(val, "val").otherwise("train")).drop("__u", "__b", "__g", "__c", "__n", "__want", "__before")
+    ranked = joined.where("__side is null").withColumn("split", F.when(F.col("__before") + rank <= F.col("__want"), "val").otherwise("train"))
+    whole_buckets = joined.where("__side is not null").withColumn("split", F.col("__side"))
+    return whole_buckets.unionByName(ranked).drop("__u", "__b", "__g", "__c", "__want", "__before", "__side")
 
 
 def sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:

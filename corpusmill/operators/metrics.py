@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
+
 
 def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
@@ -41,13 +43,12 @@ def multilabel(df: DataFrame, row_id: str, true: str, pred: str) -> DataFrame:
 
 
 def log_sum_exp(x: Column) -> Column:
-    """Of an array, shifted by its maximum."""
-    return F.array_max(x) + F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max(x))))
+    """Of an array, shifted by its maximum, which is looked for once."""
+    return let(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))))
 
 
 def softmax(x: Column) -> Column:
-    total = log_sum_exp(x)
-    return F.transform(x, lambda v: F.exp(v - total))
+    return let(log_sum_exp(x), lambda total: F.transform(x, lambda v: F.exp(v - total)))
 
 
 def cross_entropy(df: DataFrame, logits: str, target: str, ignore: int = -100) -> DataFrame:
@@ -63,19 +64,25 @@ def top_k(df: DataFrame, row_id: str, logits: str, k: int) -> DataFrame:
     return df.select(row_id, F.posexplode(best).alias("rank", "e")).select(row_id, F.col("e.expert").alias("expert"), (-F.col("e.neg")).alias("value"), (F.col("rank") + 1).alias("rank"))
 
 
-def expert_load(df: DataFrame, row_id: str, logits: str, k: int) -> DataFrame:
-    """(expert, load, prob): share of rows that route to each expert, and its mean softmax probability."""
-    chosen = top_k(df, row_id, logits, k).select(row_id, "expert", F.lit(1.0).alias("hit"))
-    probs = df.select(row_id, F.posexplode(softmax(F.col(logits))).alias("expert", "p"))
-    return probs.join(chosen, [row_id, "expert"], "left").groupBy("expert").agg((F.sum(F.coalesce("hit", F.lit(0.0))) / F.count(F.lit(1)) / k).alias("load"), F.avg("p").alias("prob"))
+def routed(logits: Column, k: int) -> Column:
+    """For each expert of a row its softmax probability and whether the row routes to it, in one array."""
+    best = F.slice(F.array_sort(F.transform(logits, lambda v, i: F.struct((-v).alias("neg"), i.alias("expert")))), 1, k)["expert"]
+    return let(best, lambda chosen: F.transform(softmax(logits), lambda p, i: F.struct(p.alias("p"), F.array_contains(chosen, i).cast("double").alias("hit"))))
+
+
+def expert_load(df: DataFrame, row_id: str, logits: str, k: int, *by: str) -> DataFrame:
+    """(by..., expert, load, prob): share of rows that route to each expert, and its mean softmax probability."""
+    each = df.select(*by, F.posexplode(routed(F.col(logits), k)).alias("expert", "e"))
+    return each.groupBy(*by, "expert").agg((F.sum("e.hit") / F.count(F.lit(1)) / k).alias("load"), F.avg("e.p").alias("prob"))
 
 
 def nucleus(df: DataFrame, row_id: str, logits: str, top_p: float) -> DataFrame:
-    """(row, token, p): the most probable entries until their mass passes top_p, renormalised."""
-    probs = df.select(row_id, F.posexplode(softmax(F.col(logits))).alias("token", "p"))
-    order = Window.partitionBy(row_id).orderBy(F.desc("p"), "token")
-    kept = probs.withColumn("cum", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("cum") - F.col("p") <= top_p)
-    return kept.select(row_id, "token", (F.col("p") / F.sum("p").over(Window.partitionBy(row_id))).alias("p"))
+    """(row, token, p): the most probable entries until their mass passes top_p, renormalised. Each row sorts its own array."""
+    order = F.array_sort(F.transform(softmax(F.col(logits)), lambda p, i: F.struct((-p).alias("neg"), i.alias("token"))))
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n"))
+    step = lambda acc, e: F.when(acc["mass"] <= top_p, F.struct((acc["mass"] - e["neg"]).alias("mass"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    kept = df.select(row_id, order.alias("o")).select(row_id, "o", F.aggregate("o", start, step).alias("k"))
+    return kept.select(row_id, F.explode(F.slice("o", F.lit(1), F.col("k.n"))).alias("e"), "k.mass").select(row_id, "e.token", (-F.col("e.neg") / F.col("mass")).alias("p"))
 
 
 def relative_l2(df: DataFrame, layer: str, value: Column, reference: Column) -> DataFrame:
@@ -84,3 +91,8 @@ def relative_l2(df: DataFrame, layer: str, value: Column, reference: Column) ->
     both = sums.groupingSets([["layer"], []], "layer").agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
     rel = F.when(F.col("r") > 0, F.sqrt("d") / F.sqrt("r")).otherwise(F.lit(float("inf")))
     return both.select("layer", rel.alias("rel")).withColumn("flagged", F.col("rel") > 0.5)
+
+
+def worst_layers(relative: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` layers that deviate most, and the figure over all."""
+    return relative.where("layer is not null").orderBy(F.desc("rel"), "layer").limit(n).unionByName(relative.where("layer is null"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import fingerprint, shingles
@@ -10,8 +10,14 @@ from corpusmill.operators.checkpoints import cut
 
 
 def prepared(df: DataFrame, cell: Column, row_id: str, text: Column, k: int = 5) -> DataFrame:
-    """(cell, id, fp, sh): fingerprint and sorted hashes of distinct shingles."""
-    return df.select(cell.alias("cell"), F.col(row_id).alias("id"), fingerprint(text).alias("fp"), F.transform(shingles(text, k), lambda s: F.xxhash64(s)).alias("sh"))
+    """(cell, id, fp, sh): fingerprint and 64-bit hashes of distinct shingles. Null text counts as empty; rows with a null cell form one cell."""
+    said, place = F.coalesce(text, F.lit("")), F.to_json(F.struct(cell.alias("c")))  # {} for a null cell
+    return df.select(place.alias("cell"), F.col(row_id).alias("id"), fingerprint(said).alias("fp"), F.transform(shingles(said, k), lambda s: F.xxhash64(s)).alias("sh"))
+
+
+def cell_value(name: str = "cell", kind: str = "string") -> Column:
+    """The cell's own value again."""
+    return F.from_json(F.col(name), f"c {kind}")["c"]
 
 
 def unique(rows: DataFrame) -> DataFrame:
@@ -20,16 +26,20 @@ def unique(rows: DataFrame) -> DataFrame:
 
 
 def pairs(first: DataFrame, threshold: float) -> DataFrame:
-    """(cell, a, b, jaccard) with a < b and Jaccard at least ``threshold``, exactly.
+    """(cell, a, b, jaccard) with a < b and Jaccard at least ``threshold``, exactly up to collisions of 64-bit shingle hashes.
 
     Prefix filter: two sets that similar share one of the rarest |A| - ceil(t |A|) + 1 shingles of each,
-    so only those meet in the join; lengths that differ too much drop out there. The sets themselves are
-    compared once for each surviving pair. Rare-first order keeps boilerplate out of the join keys.
+    so only those meet in the join; lengths that differ too much drop out there. Rows with equal sets meet
+    through one of them, so a cluster of texts that differ in punctuation only costs one row in the join and one
+    comparison; its members come back at the end, where the result names them. Rare-first order keeps boilerplate out of
+    the join keys. The sets themselves are compared once for each surviving pair.
     """
-    items = first.select("cell", "id", F.explode("sh").alias("s"))
+    keyed = first.select("cell", "id", "sh", F.sha2(F.array_join(F.array_sort("sh").cast("array<string>"), ","), 256).alias("set"))
+    sets = cut(keyed.groupBy("cell", "set").agg(F.min_by(F.struct("id", "sh"), "id").alias("r")).select("cell", "set", "r.id", "r.sh"))
+    items = sets.select("cell", "id", F.explode("sh").alias("s"))
     rarity = items.groupBy("cell", "s").agg(F.count(F.lit(1)).alias("n"))
     ordered = items.join(rarity.where("n > 1"), ["cell", "s"]).groupBy("cell", "id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("common"))
-    sized = first.select("cell", "id", F.size("sh").alias("size")).join(ordered, ["cell", "id"])
+    sized = sets.select("cell", "id", F.size("sh").alias("size")).join(ordered, ["cell", "id"])
     # Shingles that no other row has come first in the order and match nothing.
     own = F.col("size") - F.size("common")
     take = F.greatest(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int") + 1 - own, F.lit(0))
@@ -38,11 +48,14 @@ def pairs(first: DataFrame, threshold: float) -> DataFrame:
     right = prefix.select("cell", "s", F.col("id").alias("b"), F.col("size").alias("size_b"))
     near = (F.col("size_a") >= F.lit(threshold) * F.col("size_b") - 1e-9) & (F.col("size_b") >= F.lit(threshold) * F.col("size_a") - 1e-9)
     met = left.join(right, ["cell", "s"]).where((F.col("a") < F.col("b")) & near).select("cell", "a", "b").distinct()
-    sets = first.select("cell", "id", "sh")
     both = met.join(sets.select("cell", F.col("id").alias("a"), F.col("sh").alias("sa")), ["cell", "a"]).join(sets.select("cell", F.col("id").alias("b"), F.col("sh").alias("sb")), ["cell", "b"])
     common = F.size(F.array_intersect("sa", "sb"))
-    scored = both.select("cell", "a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
+    scored = both.select("cell", "a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    members = keyed.select("cell", "set", "id").join(sets.select("cell", "set", F.col("id").alias("rep"), (F.size("sh") > 0).alias("some")), ["cell", "set"])
+    left, right = members.select("cell", F.col("rep").alias("a"), F.col("id").alias("x")), members.select("cell", F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = scored.join(left, ["cell", "a"]).join(right, ["cell", "b"]).select("cell", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    inside = members.where("some").select("cell", "rep", F.col("id").alias("a")).join(members.select("cell", "rep", F.col("id").alias("b")), ["cell", "rep"]).where("a < b")
+    return across.unionByName(inside.select("cell", "a", "b", F.lit(1.0).alias("jaccard")))
 
 
 def resolve(links: DataFrame) -> DataFrame:
@@ -69,6 +82,3 @@ def status(rows: DataFrame, links: DataFrame) -> DataFrame:
     told = rows.select("cell", "fp", "id").join(first, ["cell", "fp"]).join(resolve(links), "id", "left")
     return told.select("id", F.when(F.col("id") != F.col("first"), "dup_exact").when(~F.coalesce("kept", F.lit(True)), "dup_near").otherwise("kept").alias("status"))
 
-
-def rank_in_cell(df: DataFrame, cell: str, order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(cell).orderBy(order)))

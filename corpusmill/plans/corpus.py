@@ -95,13 +95,10 @@ def split_assign(spark, sf_dir):
     return C.split(docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id")
 
 
-@R.query(f"""with s as (select doc_id, source, count(*) over (partition by source) as n from documents where doc_id < 600)
+@R.query("""with s as (select doc_id, source, count(*) over (partition by source) as n from documents)
              select doc_id, source, 'train' as split from s where n <= 50 union all select doc_id, source, 'val' from s where n <= 50""")
 def split_tiny(spark, sf_dir):
-    """Sets of 50 rows or fewer have no split of their own: validation is the training rows, flagged by appearing in both.
-
-    The SQL still counts ids below 600 only.
-    """
+    """Sets of 50 rows or fewer have no split of their own: validation is the training rows, flagged by appearing in both."""
     rows = docs(spark, sf_dir).select("doc_id", "source")
     tiny = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(C.test_size(F.col("n")) == 0).select("source")
     return rows.join(tiny, "source", "left_semi").select("doc_id", "source", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
@@ -199,7 +196,7 @@ def extract_answer(spark, sf_dir):
 TOPIC_TEXT = ["Business and music", "football in Africa", "health music", "about religion", "Technology of sports", "nothing"]
 
 
-@R.query(f"select doc_id, {sql_case([(f'contains(t, $${k}$$)', f'$${v}$$') for k, v in [('business', 'business'), ('football', 'sports'), ('music', 'entertainment'), ('africa', 'politics'), ('afrikaan', 'politics')] + [(t, t) for t in X.TOPICS[1:]]], '$$unknown$$')} as topic from (select doc_id, lower([{', '.join(repr(t) for t in TOPIC_TEXT)}][doc_id % 6 + 1] || ' ' || substr(text, 1, 40)) as t from documents)")
+@R.query(f"select doc_id, {sql_case([(f'contains(t, $${k}$$)', f'$${v}$$') for k, v in [('business', 'business'), ('football', 'sports'), ('music', 'entertainment'), ('africa', 'politics'), ('afrikaan', 'politics')] + [(t, t) for t in X.TOPICS[1:]]], '$$unknown$$')} as topic from (select doc_id, lower([{', '.join(repr(t) for t in TOPIC_TEXT)}][doc_id % 6 + 1] || ' ' || text) as t from documents)")
 def assign_topic(spark, sf_dir):
     said = F.concat(F.element_at(F.array(*map(F.lit, TOPIC_TEXT)), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" "), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", X.assign_topic(said).alias("topic"))
@@ -222,13 +219,13 @@ def lang_sanity(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.language_warning(said, code).alias("warning"))
 
 
-@R.query(f"select doc_id, length({sql_strip('substr(text, 1, 2)')}) < 2 as too_short from documents")
+@R.query(f"select doc_id, length({sql_strip('text')}) < 2 as too_short from documents")
 def min_length(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", (F.length(X.strip_spaces(F.col("text"))) < 2).alias("too_short"))
 
 
 @R.query("""select doc_id, array_to_string(list_transform(c, lambda x, i: '[chunk ' || (i - 1) || ']' || chr(10) || x), chr(10) || chr(10)) as block
-            from (select doc_id, string_split(text, chr(10))[1:3] as c from documents)""")
+            from (select doc_id, string_split(text, chr(10)) as c from documents)""")
 def numbered_block(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.numbered_block(F.split("text", "\n")).alias("block"))
 
@@ -315,9 +312,9 @@ def gen_grid(spark, sf_dir):
 
 @R.query("""select doc_id, array_to_string(list_distinct(list_concat(a, b)).list_sort(), ',') as all_words, array_to_string(list_distinct(a).list_sort(), ',') as distinct_words,
             len(list_intersect(a, b)) as common, len(list_filter(a, lambda x: not list_contains(b, x))) = 0 as subset
-            from (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[1:6] as a, regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[4:9] as b from documents)""".replace("\\\\", "\\"))
+            from (select doc_id, w[1:len(w) - len(w) // 3] as a, w[len(w) // 3 + 1:len(w)] as b from (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') as w from documents))""".replace("\\\\", "\\"))
 def array_sets(spark, sf_dir):
-    """The first and the last two thirds of a document's words (of nine words: 1 to 6 and 4 to 9, where the SQL stops)."""
+    """The first and the last two thirds of a document's words (of nine words: 1 to 6 and 4 to 9)."""
     rows = docs(spark, sf_dir).select("doc_id", X.words(F.col("text")).alias("w"))
     third = F.floor(F.size("w") / 3).cast("int")
     rows = rows.select("doc_id", F.slice("w", F.lit(1), F.size("w") - third).alias("a"), F.slice("w", third + 1, F.size("w")).alias("b"))

@@ -117,9 +117,7 @@ def moe_aux(spark, sf_dir):
 @R.query(EXPERTS + ", b as (select vec_id % 4 as layer, expert, sum((rank <= 2)::int) / count(*) / 2.0 as load, avg(p) as prob from k group by all), a as (select layer, 8 * sum(load * prob) as aux from b group by layer) select round(avg(aux), 6) as aux, count(*) as layers from a")
 def moe_layers(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    hit = M.top_k(rows, "vec_id", "e", 2).select("vec_id", "expert", F.lit(1.0).alias("hit"))
-    probs = rows.select("vec_id", F.posexplode(M.softmax(F.col("e"))).alias("expert", "p")).join(hit, ["vec_id", "expert"], "left")
-    by = probs.groupBy((F.col("vec_id") % 4).alias("layer"), "expert").agg((F.sum(F.coalesce("hit", F.lit(0.0))) / F.count(F.lit(1)) / 2).alias("load"), F.avg("p").alias("prob"))
+    by = M.expert_load(rows.withColumn("layer", F.col("vec_id") % 4), "vec_id", "e", 2, "layer")
     return by.groupBy("layer").agg((8 * F.sum(F.col("load") * F.col("prob"))).alias("aux")).agg(r6(F.avg("aux")).alias("aux"), F.count(F.lit(1)).alias("layers"))
 
 
@@ -145,17 +143,19 @@ def greedy_pick(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", (F.array_position("l", F.array_max("l")) - 1).alias("token"))
 
 
-REL = f"with {V}, x as (select label as layer, l[i] as r, l[i] * (1 + (vec_id % 5) * 0.3) as v from v, range(1, 65) q(i))"
+REL = f"with {V}, x as (select vec_id % 30 as layer, l[i] as r, l[i] * (1 + (vec_id % 5) * 0.3) as v from v, range(1, 65) q(i)), y as (select layer, sqrt(sum((v - r) * (v - r))) / sqrt(sum(r * r)) as rel from x group by grouping sets ((layer), ()))"
 
 
 def relative(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("label", "vec_id", F.explode("l").alias("r"))
-    return M.relative_l2(rows, "label", F.col("r") * (1 + (F.col("vec_id") % 5) * F.lit(0.3)), F.col("r"))
+    rows = vectors(spark, sf_dir).select((F.col("vec_id") % 30).alias("layer"), "vec_id", F.explode("l").alias("r"))
+    return M.relative_l2(rows, "layer", F.col("r") * (1 + (F.col("vec_id") % 5) * F.lit(0.3)), F.col("r"))
 
 
-@R.query(REL + " select layer, round(sqrt(sum((v - r) * (v - r))) / sqrt(sum(r * r)), 6) as rel, sqrt(sum((v - r) * (v - r))) / sqrt(sum(r * r)) > 0.5 as flagged from x group by grouping sets ((layer), ())")
+@R.query(REL + " select layer, round(rel, 6) as rel, rel > 0.5 as flagged from y where layer is null or layer in (select layer from y where layer is not null order by round(rel, 9) desc, layer limit 10)")
 def rel_l2(spark, sf_dir):
-    return relative(spark, sf_dir).select("layer", r6("rel").alias("rel"), "flagged").orderBy(F.desc("rel")).limit(11)
+    """The ten layers of 30 that deviate most, and all together."""
+    found = relative(spark, sf_dir).withColumn("rel", F.round("rel", 9))
+    return M.worst_layers(found).select("layer", r6("rel").alias("rel"), "flagged")
 
 
 @R.query(XENT + ", s as (select vec_id % 4 as shard, avg(nll) as loss from x where target <> -100 group by shard) select round(avg(loss), 6) as loss, count(*) as shards from s")

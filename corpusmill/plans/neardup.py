@@ -33,7 +33,7 @@ def rows(spark, sf_dir):
 @R.query(UNIQUE + " select lang, a, b, round(jaccard, 6) as jaccard from j where jaccard >= 0.5 - 1e-12")
 def near_dup_pairs(spark, sf_dir):
     found = N.pairs(N.unique(rows(spark, sf_dir)), 0.5)
-    return found.select(F.col("cell").alias("lang"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return found.select(N.cell_value().alias("lang"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @R.query(keep_sql(0.5) + " select doc_id from uq where doc_id not in (select doc_id from gone)")
