@@ -23,12 +23,13 @@ def scan(df: DataFrame, key: str, order: str, totals: dict[str, Column] | None =
     rows = df.withColumns(values).withColumn("__b", F.floor(F.col(order) / block))
     n, names = len(totals), list(values)
     sums = rows.groupBy(key, "__b").agg(*[F.sum(v).alias(v) for v in names[:n]], *[F.min(v).alias(v) for v in names[n:]])
-    across, inside = Window.partitionBy(key).orderBy("__b"), Window.partitionBy(key, "__b").orderBy(order)
+    # Later rows are looked at backwards: a frame that grows costs a step a row, one that shrinks is computed anew for each.
+    across, back = Window.partitionBy(key).orderBy("__b"), Window.partitionBy(key).orderBy(F.desc("__b"))
+    early, late = (Window.partitionBy(key, "__b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, F.desc(order)))
     before = [F.coalesce(F.sum(v).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{v}s") for v in names[:n]]
-    after = [F.min(v).over(across.rowsBetween(1, Window.unboundedFollowing)).alias(f"{v}s") for v in names[n:]]
+    after = [F.min(v).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{v}s") for v in names[n:]]
     starts = sums.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), *before, *after)
     joined = rows.join(starts, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c")))
-    early, late = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
     found = {name: (F.col(f"{v}s") + F.coalesce(F.sum(v).over(early), F.lit(0))).cast("long") for name, v in zip(totals, names, strict=False)}
     found |= {name: F.coalesce(F.min(v).over(late), F.col(f"{v}s")) for name, v in zip(following, names[n:], strict=True)}
     return joined.select("*", *[c.alias(name) for name, c in found.items()]).drop("__b", "__k", "__c", *names, *[f"{v}s" for v in names])

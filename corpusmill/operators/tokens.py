@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import words
-from corpusmill.operators.checkpoints import cut
+from corpusmill.operators.checkpoints import cut, written
 from corpusmill.operators.sequence import running_total, scan
 
 EOS = 0
@@ -31,14 +31,27 @@ def check_ids(ids: Column) -> Column:
 
 
 def offsets(packed: DataFrame, file: str = "file", order: str = "doc_id", existing: int = 0) -> DataFrame:
-    """Adds ``start``: where each row's ids begin in its file."""
-    return running_total(packed, file, order, F.size("ids").cast("long"), "start").withColumn("start", F.col("start") + existing)
+    """Adds ``start``: where each row's ids begin in its file. Only (file, order, length) enter the window; the ids meet their start in a join."""
+    sizes = packed.select(F.col(file).alias("__file"), F.col(order).alias("__order"), F.size("ids").cast("long").alias("__n"))
+    starts = running_total(sizes, "__file", "__order", F.col("__n"), "start").select("__file", "__order", (F.col("start") + existing).alias("start"))
+    return packed.join(starts, F.col(file).eqNullSafe(F.col("__file")) & F.col(order).eqNullSafe(F.col("__order"))).drop("__file", "__order")
 
 
-def stream(packed: DataFrame, file: str = "file", order: str = "doc_id") -> DataFrame:
-    """(file, doc_id, pos, token) of rows with ``ids``."""
-    placed = offsets(packed, file, order)
-    return placed.select(F.col(file).alias("file"), F.col(order).alias("doc_id"), "start", F.posexplode("ids").alias("i", "token")).select("file", "doc_id", (F.col("start") + F.col("i")).alias("pos"), "token")
+def placed(packed: DataFrame, file: str = "file", order: str = "doc_id") -> DataFrame:
+    """(file, doc_id, start, ids), written once: a text is tokenised a single time however often its ids are read."""
+    table = written(packed.select(F.col(file).alias("file"), F.col(order).alias("doc_id"), "ids"), "ids")
+    return offsets(table)
+
+
+def stream(rows: DataFrame) -> DataFrame:
+    """(file, doc_id, pos, token) of placed rows."""
+    return rows.select("file", "doc_id", "start", F.posexplode("ids").alias("i", "token")).select("file", "doc_id", (F.col("start") + F.col("i")).alias("pos"), "token")
+
+
+def blocks(tokens: DataFrame, size: int = 4096) -> DataFrame:
+    """(file, start, ids) of a stream without documents: pieces of ``size`` positions."""
+    pieces = tokens.groupBy("file", F.floor(F.col("pos") / size).alias("b")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    return pieces.select("file", F.col("x")[0]["pos"].alias("start"), F.col("x.token").alias("ids"))
 
 
 def document_number(tokens: DataFrame, eos: int = EOS) -> DataFrame:
@@ -77,19 +90,31 @@ def tag_positions(tokens: DataFrame, ids: Iterable[int]) -> DataFrame:
 def count_sequence(tokens: DataFrame, pattern: list[int]) -> DataFrame:
     """(file, n): left-to-right matches of a tag of several ids that do not overlap.
 
-    A match is found by joining shifted positions. Runs of matches closer than the pattern's length
-    are short; only inside such a run does a fold decide which ones count.
+    A match is found by joining shifted positions; hits are few. Hits nearer than the pattern's length to the hit before
+    form a run, numbered in blocks. Where the pattern cannot overlap itself every hit counts. Else the hits of a run are
+    equally far apart if the pattern has one period, and arithmetic counts them; runs of mixed distances are folded.
     """
     m = len(pattern)
     hits = tokens.where(F.col("token") == pattern[0]).select("file", "pos")
     for k, t in enumerate(pattern[1:], 1):
         hits = hits.join(tokens.where(F.col("token") == t).select("file", (F.col("pos") - k).alias("pos")), ["file", "pos"])
-    order = Window.partitionBy("file").orderBy("pos")
-    runs = hits.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(order) >= m).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    lists = runs.groupBy("file", "run").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    periods = [p for p in range(1, m) if pattern[p:] == pattern[: m - p]]
+    if not periods:
+        return hits.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    hits = cut(hits)
+    # A hit continues a run if there is one fewer than m places before it.
+    near = hits.select("file", F.explode(F.array(*[(F.col("pos") + p).alias("p") for p in periods])).alias("pos")).distinct().withColumn("near", F.lit(True))
+    marked = hits.join(near, ["file", "pos"], "left")
+    runs = running_total(marked, "file", "pos", F.col("near").isNull().cast("long"), "before").withColumn("run", F.col("before") + F.col("near").isNull().cast("long"))
+    ends = runs.groupBy("file", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("hits"))
+    step = periods[0]
+    even = (F.col("last") - F.col("first")) == (F.col("hits") - 1) * step if all(p % step == 0 for p in periods) else F.col("hits") == 1
+    stride = -(-m // step)  # hits from one counted to the next
+    counted = ends.where(even).select("file", F.ceil(F.col("hits") / stride).cast("long").alias("n"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-(1 << 60)).cast("long").alias("last"))
     taken = F.aggregate("at", start, lambda acc, p: F.when(p - acc["last"] >= m, F.struct((acc["n"] + 1).alias("n"), p.alias("last"))).otherwise(acc), lambda acc: acc["n"])
-    return lists.groupBy("file").agg(F.sum(taken).alias("n"))
+    odd = runs.join(ends.where(~even).select("file", "run"), ["file", "run"]).groupBy("file", "run").agg(F.array_sort(F.collect_list("pos")).alias("at")).select("file", taken.alias("n"))
+    return counted.unionByName(odd).groupBy("file").agg(F.sum("n").alias("n"))
 
 
 # ---- segments -------------------------------------------------------------------------------------
@@ -143,20 +168,31 @@ def delete_ranges(judged: DataFrame) -> DataFrame:
 
 
 def keep_spans(ranges: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(file, start, stop): half-open spans that the inclusive delete ranges leave, none of them empty; lengths: (file, length)."""
+    """(file, start, stop, new_start): half-open spans that the inclusive delete ranges leave, none of them empty, and where they go.
+
+    lengths: (file, length)."""
     order = Window.partitionBy("file").orderBy("start")
     ends = ranges.select("file", "start", "end").unionByName(lengths.select("file", F.col("length").alias("start"), F.col("length").alias("end")))
-    spans = ends.select("file", F.coalesce(F.lag("end").over(order) + 1, F.lit(0)).alias("from"), F.col("start").alias("stop"))
-    return spans.where("from < stop").select("file", F.col("from").alias("start"), "stop")
+    spans = ends.select("file", F.coalesce(F.lag("end").over(order) + 1, F.lit(0)).alias("from"), F.col("start").alias("stop")).where("from < stop")
+    gone = F.sum(F.col("stop") - F.col("from")).over(Window.partitionBy("file").orderBy("from").rowsBetween(Window.unboundedPreceding, -1))
+    return spans.select("file", F.col("from").alias("start"), "stop", F.coalesce(gone, F.lit(0)).alias("new_start"))
+
 
+def rewrite(rows: DataFrame, spans: DataFrame, block: int = 4096) -> DataFrame:
+    """(file, new_pos, token) of placed rows cut to their spans.
 
-def rewrite(tokens: DataFrame, ranges: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(file, new_pos, token) without the deleted ranges: a range meets tokens by blocks of positions, never by a pure theta join."""
-    blocks = ranges.select(F.col("file").alias("__f"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))).alias("__c"))
-    rows = tokens.withColumn("__b", F.floor(F.col("pos") / block))
-    hit = (F.col("file") == F.col("__f")) & (F.col("__b") == F.col("__c")) & (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("end"))
-    kept = rows.join(blocks, hit, "left_anti").drop("__b")
-    return running_total(kept, "file", "pos", F.lit(1), "new_pos").select("file", "new_pos", "token")
+    A row meets spans by blocks of positions, in the first block that both touch; the tokens themselves
+    are sliced out of their row and never shuffled on their own, and no window runs over them.
+    """
+    at = lambda x: F.floor(x / block)
+    last = F.col("start") + F.size("ids") - 1
+    pieces = rows.where(F.size("ids") > 0).select("file", F.col("start").alias("a"), (last + 1).alias("z"), "ids", F.explode(F.sequence(at(F.col("start")), at(last))).alias("b"))
+    wanted = spans.select(F.col("file").alias("f"), "start", "stop", "new_start", F.explode(F.sequence(at(F.col("start")), at(F.col("stop") - 1))).alias("c"))
+    once = F.col("b") == at(F.greatest("a", "start"))
+    met = pieces.join(wanted, (F.col("file") == F.col("f")) & (F.col("b") == F.col("c"))).where((F.col("start") < F.col("z")) & (F.col("stop") > F.col("a")) & once)
+    low, high = F.greatest("a", "start"), F.least("z", "stop")
+    kept = met.select("file", (F.col("new_start") + low - F.col("start")).alias("to"), F.slice("ids", (low - F.col("a") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("ids"))
+    return kept.select("file", "to", F.posexplode("ids").alias("i", "token")).select("file", (F.col("to") + F.col("i")).alias("new_pos"), "token")
 
 
 def segment_stats(judged: DataFrame, ranges: DataFrame) -> DataFrame:

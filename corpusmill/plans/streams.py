@@ -41,8 +41,12 @@ def packed(spark, sf_dir, closing=1):
     return rows.select("doc_id", "file", K.token_ids(F.col("text"), closing).alias("ids"))
 
 
+def placed(spark, sf_dir):
+    return K.placed(packed(spark, sf_dir))
+
+
 def stream(spark, sf_dir):
-    return K.stream(packed(spark, sf_dir))
+    return K.stream(placed(spark, sf_dir))
 
 
 
@@ -52,16 +56,21 @@ def coded(tokens):
     return tokens.withColumn("token", F.when(t == 0, 0).when(t % 53 == 3, 1).when(t % 53 == 5, 2).when(t % 53 == 7, 3).otherwise(t))
 
 
-def segs(spark, sf_dir):
-    return K.segments(coded(stream(spark, sf_dir)), [1], [2], tags=[2, 3])
+def segs(spark, sf_dir, rows=None):
+    return K.segments(coded(K.stream(rows or placed(spark, sf_dir))), [1], [2], tags=[2, 3])
+
+
+def judged(spark, sf_dir, rows=None):
+    return K.judged_segments(segs(spark, sf_dir, rows), KEEP)
 
 
-def judged(spark, sf_dir):
-    return K.judged_segments(segs(spark, sf_dir), KEEP)
+def ranges(spark, sf_dir, rows=None):
+    return K.delete_ranges(judged(spark, sf_dir, rows))
 
 
-def ranges(spark, sf_dir):
-    return K.delete_ranges(judged(spark, sf_dir))
+def spans(spark, sf_dir, rows):
+    lengths = rows.groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("length"))
+    return K.keep_spans(ranges(spark, sf_dir, rows), lengths)
 
 
 @R.query(f"select doc_id, array_to_string(list_concat({IDS_SQL}, [0, 0]), ' ') as ids, len({IDS_SQL}) + 2 as len from documents")
@@ -73,7 +82,7 @@ def tokenize_pack(spark, sf_dir):
 
 @R.query(f"with {DOCS_SQL} select file, doc_id, start, len(ids) as len from o")
 def pack_offsets(spark, sf_dir):
-    return K.offsets(packed(spark, sf_dir)).select("file", "doc_id", "start", F.size("ids").cast("long").alias("len"))
+    return placed(spark, sf_dir).select("file", "doc_id", "start", F.size("ids").cast("long").alias("len"))
 
 
 @R.query(TOK + " select file, pos, token from tok")
@@ -113,7 +122,7 @@ def doc_seq(spark, sf_dir):
 @R.query(f"with {DOCS_SQL} select file, unnest(range(start, start + len(ids)))::bigint as i, start as first from o")
 def doc_causal_pairs(spark, sf_dir):
     """Mask of all positions of all documents, as ranges: its pairs are quadratic."""
-    return K.causal_ranges(K.offsets(packed(spark, sf_dir)))
+    return K.causal_ranges(placed(spark, sf_dir))
 
 
 WINDOW_STARTS = ", n as (select file, max(pos) + 1 as n from tok group by file), starts as (select file, k, (('0x' || substr(md5('11|' || file || '|' || k), 1, 8))::ubigint % (n - 65))::bigint as start from n, range(0, 4) r(k) where n > 65)"
@@ -164,13 +173,13 @@ SPANS = RANGES + """, ends as (select file, start, "end" from ranges union all s
 
 @R.query(SPANS + " select * from spans where start < stop")
 def seg_keep_spans(spark, sf_dir):
-    lengths = stream(spark, sf_dir).groupBy("file").agg((F.max("pos") + 1).alias("length"))
-    return K.keep_spans(ranges(spark, sf_dir), lengths)
+    return spans(spark, sf_dir, placed(spark, sf_dir)).select("file", "start", "stop")
 
 
 @R.query(SPANS + " select t.file, row_number() over (partition by t.file order by t.pos) - 1 as new_pos, t.token from tok t join spans s on t.file = s.file and t.pos >= s.start and t.pos < s.stop")
 def seg_rewrite(spark, sf_dir):
-    return K.rewrite(stream(spark, sf_dir), ranges(spark, sf_dir))
+    rows = placed(spark, sf_dir)
+    return K.rewrite(rows, spans(spark, sf_dir, rows))
 
 
 @R.query(
