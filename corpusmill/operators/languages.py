@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from corpusmill.functions.text import hash01
 
 # Code, English name, own name, resource tier.
 LANGUAGES = [
@@ -32,13 +33,5 @@ def grid(spark: SparkSession, per_language: int) -> DataFrame:
     return dimension(spark).crossJoin(spark.range(per_language).withColumnRenamed("id", "i"))
 
 
-def checked(df: DataFrame, code: str) -> DataFrame:
-    """``df`` with its language's columns; an unknown code raises when the row is read."""
-    joined = df.join(F.broadcast(dimension(df.sparkSession)), df[code] == F.col("code"), "left")
-    return joined.withColumn("english_name", F.when(F.col("english_name").isNull(), F.raise_error(F.concat(F.lit("unknown language: "), F.coalesce(F.col(code), F.lit("null"))))).otherwise(F.col("english_name")))
-
-
-def hard_case(seed: Column, index: Column, share: float = 0.2) -> Column:
-    from corpusmill.functions.text import hash01
-
-    return hash01(seed, index.cast("string")) < share
+def hard_case(seed: Column, code: Column, index: Column, share: float = 0.2) -> Column:
+    return hash01(seed, code, index.cast("string")) < share

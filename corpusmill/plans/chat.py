@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusmill.functions.json_schema import json_problems
 from corpusmill.operators import chat as H
 from corpusmill.operators.chunks import chunk_text
 from corpusmill.plans.base import SPACE, Registry, read, sql_strip
@@ -88,7 +89,7 @@ def json_check(spark, sf_dir):
     k = F.regexp_extract("props", r"(\d+)", 1)
     kinds = [F.concat(F.lit('{"k": '), k, F.lit(', "name": "a"}')), F.concat(F.lit('{"k": "'), k, F.lit('", "name": "b", "more": 1}')), F.col("props"), F.lit("{")]
     text = F.element_at(F.array(*kinds), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "events").select("event_id", H.json_problems(text, schema).alias("problems"))
+    return read(spark, sf_dir, "events").select("event_id", json_problems(text, schema).alias("problems"))
 
 
 @R.query("""select event_id, '{"type":"' || event_type || '","k":' || (props->>'k') || '}' as compact, '{"type": "' || event_type || '", "k": ' || (props->>'k') || '}' as spaced from events""")

@@ -128,13 +128,18 @@ def doc_causal_pairs(spark, sf_dir):
 WINDOW_STARTS = ", n as (select file, max(pos) + 1 as n from tok group by file), starts as (select file, k, (('0x' || substr(md5('11|' || file || '|' || k), 1, 8))::ubigint % (n - 65))::bigint as start from n, range(0, 4) r(k) where n > 65)"
 
 
-@R.query(TOK + WINDOW_STARTS + ", y as (select file, pos, token as x, lead(token) over (partition by file order by pos) as y from tok) select s.file, s.start, y.pos, y.x, y.y from starts s join y on y.file = s.file and y.pos >= s.start and y.pos < s.start + 64")
-def block_windows(spark, sf_dir):
-    tokens = stream(spark, sf_dir)
+def sampled(tokens):
+    """(file, k, start): four windows of each file that is long enough."""
     n = tokens.groupBy("file").agg((F.max("pos") + 1).alias("n")).where("n > 65")
     starts = n.select("file", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "n")
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("11"), "file", F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
-    return K.windows(tokens, starts.select("file", (draw % (F.col("n") - 65)).alias("start")), 64)
+    return starts.select("file", "k", (draw % (F.col("n") - 65)).alias("start"))
+
+
+@R.query(TOK + WINDOW_STARTS + ", y as (select file, pos, token as x, lead(token) over (partition by file order by pos) as y from tok) select s.file, s.start, y.pos, y.x, y.y from starts s join y on y.file = s.file and y.pos >= s.start and y.pos < s.start + 64")
+def block_windows(spark, sf_dir):
+    tokens = stream(spark, sf_dir)
+    return K.windows(tokens, sampled(tokens).select("file", "start"), 64)
 
 
 @R.query(SEG + " select file, t, e from seg")
