@@ -29,7 +29,8 @@ def chat_render(spark, sf_dir):
     return conversations(spark, sf_dir).select("conv_id", H.render(F.col("messages")).alias("text"))
 
 
-@R.query()
+@R.query("""select conv_id, '{"id":"' || conv_id || '","task":"chat","language":"eng","messages":[' || string_agg('{"role":"' || role || '","content":' || to_json(text)::varchar || '}', ',' order by turn) || '],"text":' || to_json('<s>' ||
+            string_agg(chr(10) || case when role = 'assistant' then '<|assistant|>' || chr(10) || chr(10) || text else '<|' || role || '|>' || text end || '</s>' || chr(10) || chr(10), '' order by turn))::varchar || '}' as record from conversations group by conv_id""")
 def chat_record(spark, sf_dir):
     record = H.record(F.col("conv_id").cast("string"), F.lit("chat"), F.lit("eng"), F.col("messages"))
     return conversations(spark, sf_dir).select("conv_id", record.alias("record"))
@@ -163,9 +164,10 @@ def clean_text(spark, sf_dir):
 
 
 def spec(spark, sf_dir):
-    """Task specs made of documents: lines stand for the generated fields."""
-    line = lambda k: F.coalesce(F.get(F.split("text", "\n"), F.lit(k)), F.lit("none"))
-    return read(spark, sf_dir, "documents").select("doc_id", *[line(k).alias(f"f{k}") for k in range(6)], (F.col("doc_id") % 2 == 0).alias("flag"), F.split("text", "\n").alias("lines"))
+    """Task specs made of documents: every fifth line goes to one of the generated fields f0 to f4."""
+    lines = F.split("text", "\n")
+    field = lambda k: F.array_join(F.filter(lines, lambda _, i: i % 5 == k), "\n")
+    return read(spark, sf_dir, "documents").select("doc_id", *[F.when(field(k) == "", "none").otherwise(field(k)).alias(f"f{k}") for k in range(5)], (F.col("doc_id") % 2 == 0).alias("flag"), lines.alias("lines"))
 
 
 def rendered(spark, sf_dir, messages):
@@ -173,33 +175,66 @@ def rendered(spark, sf_dir, messages):
     return made.select("doc_id", F.forall("m", H.message_ok).alias("ok"), H.render(F.col("m")).alias("text"))
 
 
-@R.query()
+def said(role, content, name=None):
+    """SQL of one rendered message."""
+    if role == "tool":
+        return f"chr(10) || '<tool_result>{name} ' || {content} || '</tool_result></s>' || chr(10) || chr(10)"
+    return f"chr(10) || '<|{role}|>' || " + ("chr(10) || chr(10) || " if role == "assistant" else "") + f"{content} || '</s>' || chr(10) || chr(10)"
+
+
+def called(name, arguments):
+    return f"chr(10) || '<|assistant|>' || chr(10) || chr(10) || '<tool_call>{name}' || chr(10) || {arguments} || '</tool_call></s>'"
+
+
+def spec_sql(*cases):
+    """cases: (condition, messages) in SQL; every message of the specs has a text."""
+    fields = ", ".join(f"coalesce(nullif(array_to_string(list_filter(lines, lambda x, k: (k - 1) % 5 = {k}), chr(10)), ''), 'none') as f{k}" for k in range(5))
+    text = "case " + " ".join(f"when {c} then '<s>' || " + " || ".join(m) for c, m in cases) + " end"
+    return f"with s as (select doc_id, doc_id % 2 = 0 as flag, lines, {fields} from (select doc_id, string_split(text, chr(10)) as lines from documents)) select doc_id, true as ok, {text} as text from s"
+
+
+ASKED = [said("system", "f0"), said("user", "f1")]
+NOT_FOUND = "'{\"chunk_id\":null,\"found\":false,\"text\":\"" + H.NO_PASSAGE + "\"}'"
+SEARCH = called("search_document", "'{\"query\": ' || to_json(f2)::varchar || '}'")
+FOUND = "'{\"chunk_id\":1,\"found\":true,\"text\":' || to_json(lines[2])::varchar || '}'"
+
+
+@R.query(spec_sql(("doc_id % 4 = 0 and len(lines) > 1", [*ASKED, SEARCH, said("tool", FOUND, "search_document"), said("assistant", "f3")]), ("true", [*ASKED, SEARCH, said("tool", NOT_FOUND, "search_document"), said("assistant", "f3")])))
 def render_rag(spark, sf_dir):
     turn = F.struct(F.col("f1").alias("user_message"), F.col("f2").alias("search_query"), F.col("flag").alias("answerable"), F.when(F.col("doc_id") % 4 == 0, 1).alias("relevant_chunk_id"), F.col("f3").alias("assistant_response"))
     return rendered(spark, sf_dir, H.render_rag(F.col("f0"), F.array(turn), F.col("lines")))
 
 
-@R.query()
+@R.query(spec_sql(("flag", [*ASKED, said("assistant", "f2"), said("user", "f3"), said("assistant", "f4")]), ("true", [*ASKED, said("assistant", "f2"), said("user", "f3"), said("assistant", "f4")])))
 def render_summarization(spark, sf_dir):
+    """Of a document, with a question after it, or of a chat."""
     prior = F.array(F.struct(F.col("f1").alias("user_message"), F.col("f2").alias("assistant_message")))
-    return rendered(spark, sf_dir, H.render_summarization(F.col("f0"), F.when(F.col("flag"), "doc").otherwise("chat"), F.col("f1"), F.col("f2"), prior, F.col("flag"), F.col("f3"), F.col("f4")))
+    doc, chat = (lambda d, c: F.when(F.col("flag"), d).otherwise(c)), F.col("f3")
+    return rendered(spark, sf_dir, H.render_summarization(F.col("f0"), F.when(F.col("flag"), "doc").otherwise("chat"), doc(F.col("f1"), chat), doc(F.col("f2"), F.col("f4")), prior, F.col("flag"), F.col("f3"), F.col("f4")))
 
 
-@R.query()
+BLOCK = "'<reason>' || f2 || '</reason><task_plan>' || f3 || '</task_plan>'"
+LIGHT = [said("assistant", BLOCK), called("set_volume", "'{\"level\": 5}'"), said("tool", "'{\"status\":\"success\"}'", "set_volume"), said("assistant", "f4")]
+
+
+@R.query(spec_sql(("flag", [*ASKED, *LIGHT]), ("true", [*ASKED, said("assistant", BLOCK + " || f4")])))
 def render_edge_action(spark, sf_dir):
-    return rendered(spark, sf_dir, H.render_edge_action(F.col("f0"), F.col("f1"), F.col("f2"), F.col("f3"), F.col("flag"), F.lit("light_on"), F.lit('{"room": "a"}'), F.lit(None).cast("string"), F.col("f4")))
+    return rendered(spark, sf_dir, H.render_edge_action(F.col("f0"), F.col("f1"), F.col("f2"), F.col("f3"), F.col("flag"), F.lit("set_volume"), F.lit('{"level": 5}'), F.lit(None).cast("string"), F.col("f4")))
 
 
-@R.query()
+@R.query(spec_sql(("true", [said("system", "'Extract from: ' || f0"), said("user", "f1"), said("assistant", "'{\"x\": ' || to_json(f2)::varchar || '}'")])))
 def render_structured_output(spark, sf_dir):
     return rendered(spark, sf_dir, H.render_structured_output(F.lit("Extract from: __SOURCE_TEXT_PLACEHOLDER__"), F.col("f0"), F.col("f1"), F.concat(F.lit('{"x": '), H.quoted(F.col("f2")), F.lit("}"))))
 
 
-@R.query()
+SUM = [said("assistant", "f2"), called("calculate", "'{\"expression\": \"1+1\"}'"), said("tool", "'{\"result\":\"2\"}'", "calculate"), said("assistant", "f3")]
+
+
+@R.query(spec_sql(("flag", [*ASKED, *SUM]), ("true", [*ASKED, said("assistant", "trim(f2 || ' ' || f3)")])))
 def render_math_stats(spark, sf_dir):
     return rendered(spark, sf_dir, H.render_math_stats(F.col("f0"), F.col("f1"), F.col("f2"), F.col("flag"), F.lit("1+1"), F.lit("2"), F.col("f3")))
 
 
-@R.query()
+@R.query(spec_sql(("flag", [*ASKED, said("assistant", "f2"), said("user", "f3"), said("assistant", "f4")]), ("true", [*ASKED, said("assistant", "f2")])))
 def render_translation(spark, sf_dir):
     return rendered(spark, sf_dir, H.render_translation(F.col("f0"), F.col("f1"), F.col("f2"), F.col("flag"), F.col("f3"), F.col("f4")))

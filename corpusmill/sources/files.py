@@ -14,6 +14,13 @@ def json_lines(spark: SparkSession, paths: list[str], schema: StructType | str)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
 
 
+def task_files(listing: DataFrame, task: str) -> DataFrame:
+    """Rows (path) of a task's files with their place: the file named after the task, then its parts in order of their names."""
+    name = F.element_at(F.split("path", "/"), -1)
+    own = listing.withColumn("name", name).where(F.col("name").rlike(rf"^{task}(__part[^.]*)?\.[^.]+$"))
+    return own.orderBy(F.col("name").contains("__part"), "name").select("path", "name")
+
+
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(path, doc_id, title, text) of every .txt and .md file; the id is the file's stem."""
     raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

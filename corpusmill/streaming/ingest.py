@@ -25,11 +25,13 @@ def run_dedup(stream: DataFrame, folder: str, text_col: str = "text", order: str
         spark = batch.sparkSession
         keyed = keep_first(batch.withColumn("hash", text_key(F.col(text_col))), F.col("hash"), order)
         if number:
-            seen = spark.read.schema("hash string, batch long").parquet(f"{folder}/registry").where(F.col("batch") < number)
+            # Only the parts of the registry that the batch can meet are read.
+            prefixes = [r[0] for r in batch.select(F.substring(text_key(F.col(text_col)), 1, 2)).distinct().collect()]  # 256 at most
+            seen = spark.read.schema("hash string, batch long, prefix string").parquet(f"{folder}/registry").where((F.col("batch") < number) & F.col("prefix").isin(prefixes))
             keyed = keyed.join(seen.select("hash"), "hash", "left_anti")
         keyed.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         written = spark.read.parquet(f"{folder}/out/batch={number}")
-        written.select("hash").write.mode("overwrite").parquet(f"{folder}/registry/batch={number}")
+        written.select("hash", F.substring("hash", 1, 2).alias("prefix")).write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/registry/batch={number}")
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -47,3 +49,23 @@ def run_counts(stream: DataFrame, keys: list[str], folder: str) -> None:
 
     counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.sum(F.length("text")).alias("chars"))
     counts.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_ledger(stream: DataFrame, folder: str) -> None:
+    """Append a stream of (file, ...) a batch at a time, and after each batch the files it held to the ledger; notes that it was started.
+
+    Started again on the same folder it goes on with the files that the ledger lacks."""
+    spark = stream.sparkSession
+    spark.range(1).select(F.current_timestamp().alias("started")).write.mode("append").parquet(f"{folder}/starts")
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        done = spark.read.parquet(f"{folder}/out/batch={number}").groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+        done.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/batch={number}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def restarts(spark: SparkSession, folder: str) -> int:
+    """How often ``run_ledger`` was started on the folder after the first time."""
+    return max(0, spark.read.parquet(f"{folder}/starts").count() - 1)

@@ -1,127 +1,217 @@
-"""Token streams: worked examples of segment cleaning, masks and windows, and the token file round trip."""
+"""Token streams against plain loops over random streams: segments, masks, windows, counts, rewriting and the token files."""
 
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import masks as M
+from corpusmill.operators import sequence
 from corpusmill.operators import tokens as K
 from corpusmill.sources.token_bin import TokenBin
 
-TR, TWI, ENG, IBO, END = 50, 60, 70, 80, 99
-
-
-def stream(spark, *files):
-    rows = [(f"f{k}", i, t) for k, ids in enumerate(files) for i, t in enumerate(ids)]
-    return spark.createDataFrame(rows, "file string, pos long, token int")
-
-
-def cleaned(spark, ids, keep, tags=None, full=False):
-    tokens = stream(spark, ids)
-    judged = K.judged_segments(K.segments(tokens, [TR], [TWI], END, tags), keep, full)
+OPEN, MARK, OTHER, END = 11, 12, 13, 0
+
+
+def table(spark, files):
+    return spark.createDataFrame([(f, i, t) for f, ids in files.items() for i, t in enumerate(ids)], "file string, pos long, token int").repartition(3)
+
+
+def random_files(seed, n=4, size=150):
+    r = random.Random(seed)
+    return {f"f{k}": [r.choice([OPEN, MARK, OTHER, END, END, 1, 2, 3, 4, 5]) for _ in range(r.randrange(1, size))] for k in range(n)}
+
+
+def plain_cleaning(files, keep, full):
+    """Verdicts, merged ranges and what is left, position by position."""
+    verdicts, ranges, left, kept = {}, {}, {}, 0
+    for f, ids in sorted(files.items()):
+        doomed = []
+        for t, token in enumerate(ids):
+            if token != OPEN:
+                continue
+            e = next((k for k in range(t + 1, len(ids)) if ids[k] == END), None)
+            tag = next((k for k in range(t + 1, e or 0) if ids[k] in (MARK, OTHER)), None)
+            if e is None:
+                verdict = "unterminated"
+            elif full and tag == t + 1:
+                verdict = "empty_source"
+            elif full and tag is not None and e == tag + 1:
+                verdict = "empty_target"
+            elif MARK in ids[t + 1 : e]:
+                kept += 1
+                verdict = "kept" if kept <= keep else "deleted"
+            else:
+                verdict = "untouched"
+            verdicts[f, t] = verdict
+            if verdict in ("empty_source", "empty_target", "deleted"):
+                doomed.append((t, e))
+        gone = {k for t, e in doomed for k in range(t, e + 1)}
+        ranges[f] = []
+        for t, e in doomed:
+            if ranges[f] and t <= ranges[f][-1][1] + 1:
+                ranges[f][-1] = (ranges[f][-1][0], max(e, ranges[f][-1][1]), ranges[f][-1][2] + 1)
+            else:
+                ranges[f].append((t, e, 0))
+        left[f] = [x for k, x in enumerate(ids) if k not in gone]
+    return verdicts, ranges, left
+
+
+@pytest.mark.parametrize("keep", [0, 3, 1000])
+@pytest.mark.parametrize("full", [True, False])
+def test_cleaning_equals_plain_loops(spark, keep, full):
+    files = random_files(keep + full) | {"z": [OPEN, MARK, END, OPEN, 1, OTHER, END, OPEN, OPEN, MARK, 1, END, OPEN, 7]}
+    tokens = table(spark, files)
+    judged = K.judged_segments(K.segments(tokens, [OPEN], [MARK], END, [MARK, OTHER]), keep, full)
     ranges = K.delete_ranges(judged)
-    out = [r.token for r in K.rewrite(tokens, ranges).orderBy("new_pos").collect()]
-    return out, K.segment_stats(judged, ranges).first().asDict()
-
-
-def seg(a, b):
-    return [TR, a, TWI, b, END]
-
-
-@pytest.mark.parametrize(
-    ("ids", "keep", "expected", "stats"),
-    [
-        ([1, 2, 3, 99, 50, 10, 11, 12, 60, 13, 14, 15, 99, 50, 20, 21, 22, 70, 23, 24, 25, 26, 99], 0, [1, 2, 3, 99, 50, 20, 21, 22, 70, 23, 24, 25, 26, 99], {"qualifying": 1, "deleted": 1, "kept": 0}),
-        ([1, 2, 3, 99, 50, 20, 21, 22, 70, 23, 24, 25, 26, 99], 0, None, {"qualifying": 0}),
-        ([1, 2, *seg(10, 11), *seg(20, 21), *seg(30, 31), 9, 9], 2, [1, 2, *seg(10, 11), *seg(20, 21), 9, 9], {"qualifying": 3, "kept": 2, "deleted": 1}),
-        ([1, 2, *seg(10, 11), *seg(20, 21)], 100, None, {"deleted": 0}),
-        ([1, 2, 99, 50, 10, 60, 11, 12], 0, None, {"trailing_unterminated": 1}),
-    ],
-)
-def test_segments(spark, ids, keep, expected, stats):
-    out, got = cleaned(spark, ids, keep)
-    assert out == (ids if expected is None else expected)
-    assert stats.items() <= got.items()
-
-
-def test_empty_sides_and_thinning(spark):
-    ids = [100, 101, 50, 80, 1, 2, 3, 99, 50, 4, 5, 6, 70, 99, 50, 7, 8, 60, 9, 10, 99, 200]
-    out, got = cleaned(spark, ids, 5, [TWI, ENG, IBO], True)
-    assert out == [100, 101, 50, 7, 8, 60, 9, 10, 99, 200]
-    assert (got["empty_source"], got["empty_target"], got["kept"]) == (1, 1, 1)
-
-
-def test_nested_openings_share_their_end(spark):
-    out, got = cleaned(spark, [0, 0, 50, 60, 50, 60, 1, 1, 1, 1, 99, 7], 0)
-    assert out == [0, 0, 7] and got["ranges"] == 1 and got["merged"] == 1
-
-
-def test_keep_spans(spark):
-    ranges = spark.createDataFrame([("a", 4, 12), ("a", 20, 25)], "file string, start long, end long")
-    lengths = spark.createDataFrame([("a", 30), ("b", 10)], "file string, length long")
-    assert sorted(map(tuple, K.keep_spans(ranges, lengths).collect())) == [("a", 0, 4), ("a", 13, 20), ("a", 26, 30), ("b", 0, 10)]
+    verdicts, merged, left = plain_cleaning(files, keep, full)
+    assert {(r.file, r.t): r.verdict for r in judged.collect()} == verdicts
+    assert Counter((r.file, r.start, r.end, r.merged) for r in ranges.collect()) == Counter((f, *x) for f, xs in merged.items() for x in xs)
+    spans = K.keep_spans(ranges, tokens.groupBy("file").agg((F.max("pos") + 1).alias("length")))
+    for block in (7, 4096):
+        out = defaultdict(dict)
+        for r in K.rewrite(K.blocks(tokens, 16), spans, block).collect():
+            out[r.file][r.new_pos] = r.token
+        assert {f: [out[f][k] for k in range(len(out[f]))] for f in files} == left
+    stats = K.segment_stats(judged, ranges).first().asDict()
+    assert stats["segments"] == len(verdicts) and all(stats[v] == list(verdicts.values()).count(v) for v in ("kept", "deleted", "empty_source", "empty_target", "untouched"))
+    assert stats["deleted_tokens"] == sum(len(files[f]) - len(left[f]) for f in files)
 
 
 def test_segments_do_not_depend_on_blocks(spark, monkeypatch):
-    random.seed(1)
-    ids = [random.choice([1, 2, 3, TR, TWI, ENG, END]) for _ in range(400)]
-    first = cleaned(spark, ids, 5, [TWI, ENG], True)
-    from corpusmill.operators import sequence
-
+    tokens = table(spark, random_files(9))
+    run = lambda: Counter(map(tuple, K.segments(tokens, [OPEN], [MARK], END, [MARK, OTHER]).collect()))
+    first = run()
     monkeypatch.setattr(sequence.scan, "__defaults__", (None, None, 16))
     monkeypatch.setattr(sequence.running_total, "__defaults__", (16,))
-    assert cleaned(spark, ids, 5, [TWI, ENG], True) == first
-
-
-CHAT = [
-    ([1, 5, 6, 2, 7, 8, 3, 9, 10], 1, range(7)), ([100, 2, 7, 8, 3, 9, 10], 1, range(1, 5)), ([2, 1, 7, 3, 9], 1, range(1, 4)), ([100, 2, 7, 8], 1, range(1, 4)),
-    ([100, 101, 102], 1, []), ([100, 101, 3, 9], 1, range(3)), ([1, 2, 7, 3, 9], None, range(1, 4)),
-]
-
-
-@pytest.mark.parametrize(("ids", "system", "masked"), CHAT)
-def test_chat_mask(spark, ids, system, masked):
-    got = [r.label for r in M.mask_chat(stream(spark, ids), "file", system, 2, 3).orderBy("pos").collect()]
-    assert got == [-100 if i in masked else t for i, t in enumerate(ids)]
-
-
-X = -100
-PAIRS = [
-    ([100, 5, 6], [X, 5, 6]), ([5, 200, 6], [5, X, X]), ([200, 1, 2, 200, 3], [X, X, X, X, 3]), ([5, 6, 7, 0, 8, 9], [5, 6, 7, 0, 8, 9]),
-    ([3, 200, 0, 7, 8, 9, 0, 200, 4, 0], [3, X, X, 7, 8, 9, 0, X, X, X]), ([200, 1, 2, 200, 3, 0], [X, X, X, X, 3, 0]), ([100, 1, 0, 200, 2, 3], [X, 1, 0, X, X, X]),
-]
-
-
-def test_pair_mask(spark):
-    from pyspark.sql import functions as F
-
-    tokens = K.document_number(stream(spark, *[a for a, _ in PAIRS]))
-    got = {}
-    for r in M.mask_pretrain(tokens, F.col("token").isin(100, 200), F.col("token") == 100).orderBy("file", "pos").collect():
-        got.setdefault(r.file, []).append(r.label)
-    assert [got[f"f{k}"] for k in range(len(PAIRS))] == [b for _, b in PAIRS]
-
-
-def test_document_pairs(spark):
-    pairs = {(r.i, r.j) for r in K.causal_pairs(K.document_number(stream(spark, [1, 2, 99, 3, 4, 99, 5]), 99)).collect()}
-    assert {j for i, j in pairs if i == 4} == {3, 4} and {j for i, j in pairs if i == 6} == {6} and (3, 2) not in pairs and (2, 0) in pairs
-
-
-def test_tag_sequence_counts_do_not_overlap(spark):
-    assert [r.n for r in K.count_sequence(stream(spark, [1, 1, 1, 1, 1, 2, 1, 1]), [1, 1]).collect()] == [3]
-
-
-def test_token_file_round_trip(spark, tmp_path):
+    assert run() == first
+
+
+def test_totals_and_next_values_equal_plain_loops(spark):
+    r = random.Random(3)
+    rows = [(k, p, r.randrange(5)) for k in "ab" for p in r.sample(range(10_000), 200)]
+    df = spark.createDataFrame(rows, "k string, p long, v int")
+    got = sequence.scan(df, "k", "p", {"before": F.col("v")}, {"next": F.when(F.col("v") == 4, F.col("p"))}, 64).collect()
+    for x in got:
+        mine = [(p, v) for k, p, v in rows if k == x.k]
+        assert x.before == sum(v for p, v in mine if p < x.p) and x.next == min((p for p, v in mine if p > x.p and v == 4), default=None)
+
+
+def test_chat_mask_equals_plain_loops(spark):
+    r, files = random.Random(5), {}
+    for k in range(40):
+        head = [r.choice([7, 8, 9]) for _ in range(r.randrange(3))]
+        marks = [[1] * (r.random() < 0.5), [2] * (r.random() < 0.8), [3] * (r.random() < 0.7)]
+        files[f"f{k}"] = [*head, *[x for m in marks for x in [*m, *[r.choice([7, 8, 9]) for _ in range(r.randrange(4))]]]] or [7]
+    for system in (1, None):
+        got = defaultdict(dict)
+        for x in M.mask_chat(table(spark, files), "file", system, 2, 3).collect():
+            got[x.file][x.pos] = x.label
+        for f, ids in files.items():
+            start = ids.index(system) if system in ids else ids.index(2) if 2 in ids else 0
+            stop = ids.index(3) + 1 if 3 in ids else len(ids) if start else 0
+            assert [got[f][k] for k in range(len(ids))] == [M.MASK if start <= k < stop else t for k, t in enumerate(ids)], (system, ids)
+
+
+def test_pair_mask_equals_plain_loops(spark):
+    files = {f: [{OPEN: 21, MARK: 22}.get(t, t) for t in ids] for f, ids in random_files(12, 6, 60).items()}
+    tokens = K.document_number(table(spark, files))
+    masked = M.mask_pretrain(tokens, F.col("token").isin(21, 22), F.col("token") == 21)
+    got = {(x.file, x.pos): x.label for x in masked.collect()}
+    for f, ids in files.items():
+        expected, at = [], 0
+        while at < len(ids):
+            stop = ids.index(END, at) + 1 if END in ids[at:] else len(ids)
+            doc = ids[at:stop]
+            tags = [k for k, t in enumerate(doc) if t in (21, 22)]
+            hidden = set()
+            if tags and doc[tags[0]] == 21:
+                hidden |= set(range(tags.pop(0) + 1))
+            while tags:
+                first = tags.pop(0)
+                hidden |= set(range(first, (tags.pop(0) if tags else len(doc) - 1) + 1))
+            expected += [M.MASK if k in hidden else t for k, t in enumerate(doc)]
+            at = stop
+        assert [got[f, k] for k in range(len(ids))] == expected
+    runs = Counter((x.file, x.start, x.end) for x in M.runs(masked).collect())
+    plain = Counter()
+    for f, ids in files.items():
+        hit = [k for k in range(len(ids)) if got[f, k] == M.MASK]
+        for k in hit:
+            if k - 1 not in hit:
+                plain[f, k, next(e for e in range(k, len(ids) + 1) if e + 1 not in hit)] += 1
+    assert runs == plain
+
+
+def test_documents_and_their_masks(spark):
+    files = random_files(31, 3, 40)
+    tokens = K.document_number(table(spark, files))
+    assert all(x.doc_seq == files[x.file][: x.pos].count(END) for x in tokens.collect())
+    pairs = {(x.file, x.i, x.j) for x in K.causal_pairs(tokens).collect()}
+    assert pairs == {(f, i, j) for f, ids in files.items() for i in range(len(ids)) for j in range(i + 1) if END not in ids[j:i]}
+
+
+@pytest.mark.parametrize("pattern", [[1, 1], [1, 1, 1], [1, 2], [1, 2, 1], [1, 1, 2, 1, 1], [2]])
+def test_tag_sequences_count_without_overlap(spark, pattern):
+    r = random.Random(len(pattern))
+    files = {f"f{k}": [r.choice([1, 1, 1, 2]) for _ in range(120)] for k in range(3)} | {"g": [1] * 50 + [2, 1, 1] * 9, "h": [3]}
+    expected = {}
+    for f, ids in files.items():
+        at = n = 0
+        while at < len(ids):
+            if ids[at : at + len(pattern)] == pattern:
+                n, at = n + 1, at + len(pattern)
+            else:
+                at += 1
+        if n:
+            expected[f] = n
+    assert {x.file: x.n for x in K.count_sequence(table(spark, files), pattern).collect()} == expected
+
+
+def test_windows_pair_each_token_with_the_next(spark):
+    files = {"a": list(range(100, 160)), "b": list(range(30))}
+    starts = spark.createDataFrame([("a", 3), ("a", 40), ("b", 0)], "file string, start long")
+    got = {(x.file, x.start, x.pos): (x.x, x.y) for x in K.windows(table(spark, files), starts, 16).collect()}
+    assert got == {(f, s, p): (files[f][p], files[f][p + 1]) for f, s in [("a", 3), ("a", 40), ("b", 0)] for p in range(s, s + 16)}
+
+
+def test_offsets_take_sparse_orders_and_null_files(spark):
+    rows = [("a", 10**12, [1, 2]), ("a", 5, [3]), ("a", 10**15, []), ("a", 7 * 10**15, [4, 5, 6]), (None, 1, [7]), (None, 9, [8])]
+    got = {(x.file, x.doc_id): x.start for x in K.placed(spark.createDataFrame(rows, "file string, doc_id long, ids array<int>")).collect()}
+    assert got == {("a", 5): 0, ("a", 10**12): 1, ("a", 10**15): 3, ("a", 7 * 10**15): 3, (None, 1): 0, (None, 9): 1}
+
+
+@pytest.mark.parametrize("flat", ["false", "true"])
+def test_token_file_round_trip(spark, tmp_path, flat):
     spark.dataSource.register(TokenBin)
     path = str(tmp_path / "x.bin")
     ids = [i * 37 % 65536 for i in range(5000)]
     for k in range(2):
         rows = spark.createDataFrame([(path, i, t) for i, t in enumerate(ids)], "file string, pos long, token int")
-        rows.repartitionByRange(3, "pos").sortWithinPartitions("pos").write.format("token_bin").option("path", path).mode("append").save()
-    got = spark.read.format("token_bin").option("path", path).option("range_tokens", "700").load().orderBy("pos").collect()
-    assert [r.token for r in got] == ids * 2 and [r.pos for r in got] == list(range(10_000))
-    big = spark.createDataFrame([(path, 0, 70_000)], "file string, pos long, token int")
-    with pytest.raises(Exception, match="65535"):
-        big.write.format("token_bin").option("path", path).mode("append").save()
+        rows.repartitionByRange(3, "pos").sortWithinPartitions("pos").write.format("token_bin").option("path", path).option("flat", flat).mode("append").save()
+    load = lambda: spark.read.format("token_bin").option("path", path).option("range_tokens", "700").load().orderBy("pos").collect()
+    got = load()
+    assert [r.token for r in got] == ids * 2 and [r.pos for r in got] == list(range(10_000)) and {r.file for r in got} == {path}
+    for bad in ([(path, 0, 70_000)], [(path, 5, 1), (path, 4, 1)]):
+        with pytest.raises(Exception, match="65535|sorted"):
+            spark.createDataFrame(bad, "file string, pos long, token int").coalesce(1).write.format("token_bin").option("path", path).option("flat", flat).mode("append").save()
+    assert len(load()) == 10_000
+
+
+def test_cleaning_a_token_file_into_another(spark, tmp_path):
+    """From a file through segments and spans to the sink, and read back."""
+    spark.dataSource.register(TokenBin)
+    ids = random_files(77, 1, 4000)["f0"]
+    old, new = str(tmp_path / "old.bin"), str(tmp_path / "new.bin")
+    rows = spark.createDataFrame([(old, i, t) for i, t in enumerate(ids)], "file string, pos long, token int")
+    rows.repartitionByRange(2, "pos").sortWithinPartitions("pos").write.format("token_bin").option("path", old).mode("append").save()
+    tokens = spark.read.format("token_bin").option("path", old).option("range_tokens", "100").load()
+    ranges = K.delete_ranges(K.judged_segments(K.segments(tokens, [OPEN], [MARK], END, [MARK, OTHER]), 2))
+    spans = K.keep_spans(ranges, tokens.groupBy("file").agg((F.max("pos") + 1).alias("length")))
+    out = K.rewrite(K.blocks(tokens, 64), spans).select("file", F.col("new_pos").alias("pos"), "token")
+    out.repartitionByRange(3, "pos").sortWithinPartitions("pos").write.format("token_bin").option("path", new).mode("append").save()
+    got = [r.token for r in spark.read.format("token_bin").option("path", new).load().orderBy("pos").collect()]
+    assert got == plain_cleaning({"f": ids}, 2, True)[2]["f"]
