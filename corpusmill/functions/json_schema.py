@@ -20,8 +20,8 @@ VARIANT_TYPES = {
 
 def child(value: Column, key: str) -> Column:
     """Member of an object variant, null if there is none (a JSON null is a value)."""
-    inside = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(value, f"$['{inside}']", "variant")
+    quote = '"' if "'" in key else "'"
+    return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
 
 
 def problems(value: Column, schema: dict, at: Column) -> Column:

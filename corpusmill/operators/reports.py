@@ -133,5 +133,5 @@ def settings(found: object, whole: tuple[str, ...] = ()) -> dict:
             continue
         if not isinstance(part, dict):
             raise ValueError(f"mappings expected, not {part!r}")
-        merged |= {k: settings(v, whole) if isinstance(v, list) and v and all(isinstance(x, dict) for x in v) else v for k, v in part.items()}
+        merged |= {k: settings(v, whole) if isinstance(v, list) and any(isinstance(x, dict) for x in v) and all(x is None or isinstance(x, dict) for x in v) else v for k, v in part.items()}
     return {k: whole_number(v) if k in whole and v is not None else v for k, v in merged.items()}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from corpusmill.functions.text import words
 from corpusmill.operators.checkpoints import cut, written
@@ -25,6 +27,23 @@ def token_ids(text: Column, closing: int = 2) -> Column:
     return F.concat(ids, F.array(*[F.lit(EOS)] * closing)) if closing else ids
 
 
+def encoded(df: DataFrame, text: str, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], closing: int = 2) -> DataFrame:
+    """``df`` with ``ids`` of a tokenizer of the caller's, and ``closing`` end ids.
+
+    ``tokenizer`` is called once in each task and returns what encodes a batch of texts; a null text counts as empty."""
+    own = [f"c{k}" for k in range(len(df.columns))]
+    at = df.columns.index(text)
+    named = df.toDF(*own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer()
+        for batch in batches:
+            found = [[*ids, *[EOS] * closing] for ids in encode([t or "" for t in batch.column(at).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*own, "ids"])
+
+    return named.mapInArrow(run, StructType([*named.schema.fields, StructField("ids", ArrayType(IntegerType()))])).toDF(*df.columns, "ids")
+
+
 def check_ids(ids: Column) -> Column:
     """The ids, or an error if one does not fit in 16 bits."""
     return F.when(F.exists(ids, lambda t: (t < 0) | (t > 65_535)), F.raise_error(F.lit("token id outside 0..65535"))).otherwise(ids)
