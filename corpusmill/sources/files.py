@@ -22,9 +22,8 @@ def task_files(listing: DataFrame, task: str) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, doc_id, title, text) of every .txt and .md file; the id is the file's stem."""
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)  # the text reader has no row for an empty file
-    raw = whole.select("path", F.col("content").cast("string").alias("text"))
+    """(path, doc_id, title, text) of every .txt and .md file that isn't empty (Spark's readers pass those over); the id is the file's stem."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     return raw.where(F.lower("path").rlike(r"\.(txt|md)$")).select("path", stem.alias("doc_id"), title(strip_spaces(F.col("text")), stem).alias("title"), "text")
 

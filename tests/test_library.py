@@ -185,7 +185,7 @@ def test_hash_of_window_bytes(spark):
 
 
 def test_text_corpus_and_registry(spark, tmp_path):
-    for name, text in {"a.txt": "# Title one\nbody", "sub/b.MD": "\n\n  \nfirst\nx", "c.csv": "no", "d.txt": ""}.items():
+    for name, text in {"a.txt": "# Title one\nbody", "sub/b.MD": "\n\n  \nfirst\nx", "c.csv": "no", "d.txt": "\n", "e.txt": ""}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     corpus = files.text_corpus(spark, str(tmp_path))
