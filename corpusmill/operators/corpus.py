@@ -29,9 +29,11 @@ def test_size(n: Column) -> Column:
     return F.when(n <= 50, F.lit(0)).otherwise((n * share).cast("long")).cast("long")
 
 
-def split(df: DataFrame, group: str, row_id: str, seed: int = 2357) -> DataFrame:
+def split(df: DataFrame, group: str, row_id: str, seed: int = 2357, tiny: str = "none") -> DataFrame:
     """Adds ``split``: the rows of each group with the smallest seeded hashes are 'val', as many as test_size says.
 
+    A tiny group has no validation rows; with ``tiny`` "copy" its rows are in both splits.
+
     Counts of hashes in 1,024 buckets say on which side of the boundary a bucket lies; only rows of the bucket
     that holds it are shuffled and ranked.
     """
@@ -45,7 +47,10 @@ def split(df: DataFrame, group: str, row_id: str, seed: int = 2357) -> DataFrame
     rank = F.row_number().over(Window.partitionBy("__g", "__c").orderBy("__u", row_id))
     ranked = joined.where("__side is null").withColumn("split", F.when(F.col("__before") + rank <= F.col("__want"), "val").otherwise("train"))
     whole_buckets = joined.where("__side is not null").withColumn("split", F.col("__side"))
-    return whole_buckets.unionByName(ranked).drop("__u", "__b", "__g", "__c", "__want", "__before", "__side")
+    found = whole_buckets.unionByName(ranked)
+    if tiny == "copy":
+        found = found.unionByName(joined.where("__want = 0").withColumn("split", F.lit("val")))
+    return found.drop("__u", "__b", "__g", "__c", "__want", "__before", "__side")
 
 
 def sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
@@ -70,8 +75,10 @@ def cell_report(df: DataFrame, task: str, lang: str, status: str) -> DataFrame:
     )
 
 
-def cell_totals(report: DataFrame) -> DataFrame:
-    return report.agg(*[F.sum(c).alias(c) for c in ("generated", "parse_failed", "validation_failed", "dedup_dropped", "kept")])
+def cell_totals(report: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Sums over all cells and the number of warnings."""
+    sums = report.agg(*[F.sum(c).alias(c) for c in ("generated", "parse_failed", "validation_failed", "dedup_dropped", "kept")])
+    return sums.crossJoin(warnings.agg(F.count(F.lit(1)).alias("warnings")))  # one row each
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -214,11 +214,13 @@ def rewrite(rows: DataFrame, spans: DataFrame, block: int = 4096) -> DataFrame:
     return kept.select("file", "to", F.posexplode("ids").alias("i", "token")).select("file", (F.col("to") + F.col("i")).alias("new_pos"), "token")
 
 
-def segment_stats(judged: DataFrame, ranges: DataFrame) -> DataFrame:
+def segment_stats(judged: DataFrame, ranges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row of counts; lengths: (file, length)."""
     n = lambda *v: F.sum(F.col("verdict").isin(*v).cast("long"))
     counts = judged.agg(
         F.count(F.lit(1)).alias("segments"), n("kept", "deleted").alias("qualifying"), n("kept").alias("kept"), n("deleted").alias("deleted"), n("empty_source").alias("empty_source"),
         n("empty_target").alias("empty_target"), n("unterminated").alias("trailing_unterminated"), n("untouched").alias("untouched"),
     )
     totals = ranges.agg(F.count(F.lit(1)).alias("ranges"), F.coalesce(F.sum("merged"), F.lit(0)).alias("merged"), F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("deleted_tokens"))
-    return counts.crossJoin(totals)  # one row each
+    whole = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("input_tokens"))
+    return counts.crossJoin(totals).crossJoin(whole).withColumn("output_tokens", F.col("input_tokens") - F.col("deleted_tokens"))  # one row each

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from corpusmill.functions.cleaning import clean, flat_list, flat_map
 from corpusmill.functions.json_schema import json_problems
 from corpusmill.operators import chat as H
 from corpusmill.operators.chunks import chunk_text
@@ -151,16 +148,16 @@ def chunk_counts(spark, sf_dir):
     return doc_chunks(spark, sf_dir).select("doc_id", F.size("chunks").cast("long").alias("chunks")).where("chunks > 0")
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t or ""))
-
-
 @R.query()
 def clean_text(spark, sf_dir):
-    """NFKC (Python only), tags out, zero-width spaces out, then characters outside the allowed classes out."""
-    bare = F.regexp_replace(F.regexp_replace(nfkc(F.col("html")), "<[^>]*>", " "), "​", "")
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(bare, r"[^\p{L}\p{N}_\s,.!?;:\-À-ɏḀ-ỿ\n]", "").alias("text"))
+    return read(spark, sf_dir, "pages").select("page_id", clean(F.col("html")).alias("text"))
+
+
+@R.query("select doc_id, coalesce('source. ' || source || ' lang. ' || lang, '') as told, array_to_string(string_split(text, chr(10)), ' ') as joined from documents")
+def flatten_values(spark, sf_dir):
+    """Mappings as 'key. value' and lists, as the text that is cleaned."""
+    told = flat_map(F.map_from_arrays(F.array(F.lit("source"), F.lit("lang")), F.array("source", "lang")))
+    return read(spark, sf_dir, "documents").select("doc_id", told.alias("told"), flat_list(F.split("text", "\n")).alias("joined"))
 
 
 def spec(spark, sf_dir):

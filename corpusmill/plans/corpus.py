@@ -240,6 +240,12 @@ def token_count_chunks(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.chunk_lengths(F.col("text"), 500).alias("tokens"))
 
 
+@R.query("select sum(tokens)::bigint as tokens from (" + f"select doc_id, list_sum(list_transform(range(0, (greatest(length(text), 1) - 1) // 500 + 1), lambda i: len(regexp_extract_all(substr(text, (i * 500 + 1)::bigint, 500), '{WORD}'))))::bigint as tokens from documents" + ")")
+def token_count_total(spark, sf_dir):
+    """The same for all texts together."""
+    return docs(spark, sf_dir).agg(F.sum(X.chunk_lengths(F.col("text"), 500)).alias("tokens"))
+
+
 @R.query(f"select doc_id, len({WORDS}) as words, len({SPLIT_SPACE}) as space_words, len(regexp_extract_all(text, '[.!?]+')) as sentences from documents")
 def doc_lengths(spark, sf_dir):
     t = F.col("text")
@@ -372,9 +378,10 @@ def cell_report(spark, sf_dir):
     return C.cell_report(statuses(spark, sf_dir), "source", "lang", "status").orderBy("task", "language")
 
 
-@R.query(f"select {COUNTERS_SQL} from ({CELL_SQL})")
+@R.query(f"select {COUNTERS_SQL}, (select count(*) from documents where n_chars < 300) as warnings from ({CELL_SQL})")
 def cell_totals(spark, sf_dir):
-    return C.cell_totals(C.cell_report(statuses(spark, sf_dir), "source", "lang", "status"))
+    """Totals of all cells; here a short text is a warning."""
+    return C.cell_totals(C.cell_report(statuses(spark, sf_dir), "source", "lang", "status"), docs(spark, sf_dir).where("n_chars < 300"))
 
 
 @R.query(f"select doc_id, {sql_hash01("'7|' || doc_id")} < 0.75 as english from documents")

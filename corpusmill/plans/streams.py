@@ -68,9 +68,12 @@ def ranges(spark, sf_dir, rows=None):
     return K.delete_ranges(judged(spark, sf_dir, rows))
 
 
+def lengths(rows):
+    return rows.groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("length"))
+
+
 def spans(spark, sf_dir, rows):
-    lengths = rows.groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("length"))
-    return K.keep_spans(ranges(spark, sf_dir, rows), lengths)
+    return K.keep_spans(ranges(spark, sf_dir, rows), lengths(rows))
 
 
 @R.query(f"select doc_id, array_to_string(list_concat({IDS_SQL}, [0, 0]), ' ') as ids, len({IDS_SQL}) + 2 as len from documents")
@@ -191,11 +194,12 @@ def seg_rewrite(spark, sf_dir):
     RANGES
     + """ select count(*) as segments, count(*) filter (verdict in ('kept', 'deleted')) as qualifying, count(*) filter (verdict = 'kept') as kept, count(*) filter (verdict = 'deleted') as deleted,
     count(*) filter (verdict = 'empty_source') as empty_source, count(*) filter (verdict = 'empty_target') as empty_target, count(*) filter (verdict = 'unterminated') as trailing_unterminated, count(*) filter (verdict = 'untouched') as untouched,
-    (select count(*) from ranges) as ranges, (select sum(merged)::bigint from ranges) as merged, (select sum("end" - start + 1)::bigint from ranges) as deleted_tokens from judged"""
+    (select count(*) from ranges) as ranges, (select sum(merged)::bigint from ranges) as merged, (select sum("end" - start + 1)::bigint from ranges) as deleted_tokens, (select count(*) from tok) as input_tokens, (select count(*) from tok) - (select sum("end" - start + 1)::bigint from ranges) as output_tokens from judged"""
 )
 def seg_stats(spark, sf_dir):
-    found = judged(spark, sf_dir)
-    return K.segment_stats(found, K.delete_ranges(found))
+    rows = placed(spark, sf_dir)
+    found = judged(spark, sf_dir, rows)
+    return K.segment_stats(found, K.delete_ranges(found), lengths(rows))
 
 
 @R.query(JUDGED + " select file, t, e, verdict from judged where verdict in ('empty_source', 'empty_target') order by file, t limit 20")

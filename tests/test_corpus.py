@@ -89,12 +89,6 @@ def test_chat_rendering_and_tool_messages(spark):
     assert one(spark, chat.message_ok(chat.message("assistant"))) is False
 
 
-def test_json_schema_problems():
-    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "integer"}}}}
-    assert chat.problems({"a": [1, True]}, schema) == ["$.a[1]: type integer expected"]
-    assert chat.problems([], schema) == ["$: type object expected"]
-
-
 def test_sampling_weights(spark):
     at = lambda step, scheduled=True: one(spark, schedules.sampling_weight(0.8, 0.2, F.lit(step), 1000, scheduled))
     assert [round(at(s), 6) for s in (0, 1000, 5000)] == [0.8, 0.2, 0.2] and at(500, False) == 0.8

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import random
 import re
@@ -98,13 +99,15 @@ def test_clean_text_equals_plain_python(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {x.page_id: x.text for x in chat_plans.R.queries["clean_text"](spark, str(tmp_path)).collect()}
     for i, t in pages:
-        bare = re.sub("<[^>]*>", " ", unicodedata.normalize("NFKC", t or "")).replace("​", "")
+        bare = html.unescape(re.sub("<[^>]*>", " ", unicodedata.normalize("NFKC", t or ""))).replace("​", "")
         assert got[i] == "".join(c for c in bare if c.isalnum() or c in "_ \t\n\r\f\v,.!?;:-" or "À" <= c <= "ɏ" or "Ḁ" <= c <= "ỿ")
 
 
 def test_split_ranks_the_boundary_only(spark):
     rows = [(i, "big" if i % 4 else "mid") for i in range(4000)] + [(9000 + i, "tiny") for i in range(50)] + [(9900, None)]
     got = C.split(spark.createDataFrame(rows, "doc_id long, lang string"), "lang", "doc_id").collect()
+    copied = C.split(spark.createDataFrame(rows, "doc_id long, lang string"), "lang", "doc_id", tiny="copy")
+    assert Counter((x.lang, x.split) for x in copied.where("lang = 'tiny' or lang is null").collect()) == {("tiny", "train"): 50, ("tiny", "val"): 50, (None, "train"): 1, (None, "val"): 1}
     assert Counter((x.lang, x.split) for x in got) == {("big", "val"): 300, ("big", "train"): 2700, ("mid", "val"): 100, ("mid", "train"): 900, ("tiny", "train"): 50, (None, "train"): 1}
 
 

@@ -70,13 +70,15 @@ def test_cleaning_equals_plain_loops(spark, keep, full):
     verdicts, merged, left = plain_cleaning(files, keep, full)
     assert {(r.file, r.t): r.verdict for r in judged.collect()} == verdicts
     assert Counter((r.file, r.start, r.end, r.merged) for r in ranges.collect()) == Counter((f, *x) for f, xs in merged.items() for x in xs)
-    spans = K.keep_spans(ranges, tokens.groupBy("file").agg((F.max("pos") + 1).alias("length")))
+    lengths = tokens.groupBy("file").agg((F.max("pos") + 1).alias("length"))
+    spans = K.keep_spans(ranges, lengths)
     for block in (7, 4096):
         out = defaultdict(dict)
         for r in K.rewrite(K.blocks(tokens, 16), spans, block).collect():
             out[r.file][r.new_pos] = r.token
         assert {f: [out[f][k] for k in range(len(out[f]))] for f in files} == left
-    stats = K.segment_stats(judged, ranges).first().asDict()
+    stats = K.segment_stats(judged, ranges, lengths).first().asDict()
+    assert (stats["input_tokens"], stats["output_tokens"]) == (sum(map(len, files.values())), sum(map(len, left.values())))
     assert stats["segments"] == len(verdicts) and all(stats[v] == list(verdicts.values()).count(v) for v in ("kept", "deleted", "empty_source", "empty_target", "untouched"))
     assert stats["deleted_tokens"] == sum(len(files[f]) - len(left[f]) for f in files)
 
