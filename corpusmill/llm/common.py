@@ -55,9 +55,14 @@ class Workspace:
 
     def close(self) -> None:
         """Delete the folder; nothing lazy may still read it."""
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        discard(self.spark, self.path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing lazy reads any more."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def quoted(name: str) -> str:

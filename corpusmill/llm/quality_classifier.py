@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialise
+from corpusmill.llm.common import Workspace
 
 BUCKETS = 1 << 16
 LABELLERS = ("length", "symbols", "capitals", "lines", "windows", "word_length", "sentences", "shouting", "clean_words")
@@ -151,13 +151,15 @@ def classify(docs: DataFrame, sample: int = 10_000, sample_features: int = 20_00
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     chosen = F.pmod(key, F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20))
     drawn = rows.select(key.alias("key"), "text").where(chosen.cast("boolean")).dropDuplicates(["key"])
-    found = materialise(drawn.mapInArrow(featurise, "key long, size long, buckets array<int>, weights array<float>, target double"), "features")
+    space = Workspace(docs.sparkSession, "classifier")
+    found = space.table(drawn.mapInArrow(featurise, "key long, size long, buckets array<int>, weights array<float>, target double"), "features")
     sizes = found.select("key", "size").orderBy("key").limit(2 * sample).toArrow()
     fits = np.flatnonzero(np.cumsum(sizes["size"].to_numpy()) <= sample_features)
     last = sizes["key"][int(fits[-1])].as_py() if len(fits) else -(1 << 63)
     taken = found.where(F.col("key") <= last).orderBy("key").toArrow()
     pairs = [(b.values.to_numpy(), w.values.to_numpy()) for b, w in zip(taken["buckets"], taken["weights"], strict=True) if len(b)]
     target = np.array([t for b, t in zip(taken["buckets"], taken["target"].to_numpy(), strict=True) if len(b)])
+    space.close()
     w, bias = train(pairs, target)
     w = w.astype(np.float32)
 
