@@ -26,12 +26,12 @@ def run_dedup(stream: DataFrame, folder: str, text_col: str = "text", order: str
         keyed = keep_first(batch.withColumn("hash", text_key(F.col(text_col))), F.col("hash"), order)
         if number:
             # Only the parts of the registry that the batch can meet are read.
-            prefixes = [r[0] for r in batch.select(F.substring(text_key(F.col(text_col)), 1, 2)).distinct().collect()]  # 256 at most
+            prefixes = [r[0] for r in batch.select(F.substring(text_key(F.col(text_col)), 1, 1)).distinct().collect()]  # 16 at most
             seen = spark.read.schema("hash string, batch long, prefix string").parquet(f"{folder}/registry").where((F.col("batch") < number) & F.col("prefix").isin(prefixes))
             keyed = keyed.join(seen.select("hash"), "hash", "left_anti")
         keyed.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         written = spark.read.parquet(f"{folder}/out/batch={number}")
-        written.select("hash", F.substring("hash", 1, 2).alias("prefix")).write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/registry/batch={number}")
+        written.select("hash", F.substring("hash", 1, 1).alias("prefix")).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/registry/batch={number}")
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
