@@ -50,9 +50,9 @@ def check_ids(ids: Column) -> Column:
 
 
 def offsets(packed: DataFrame, file: str = "file", order: str = "doc_id", existing: int = 0) -> DataFrame:
-    """Adds ``start``: where each row's ids begin in its file. Only (file, order, length) enter the window; the ids meet their start in a join."""
+    """Adds ``start``: where each row's ids begin in its file. Only (file, order, length) enter the window; the ids meet their start in a join. The order may be any 64-bit number."""
     sizes = packed.select(F.col(file).alias("__file"), F.col(order).alias("__order"), F.size("ids").cast("long").alias("__n"))
-    starts = running_total(sizes, "__file", "__order", F.col("__n"), "start").select("__file", "__order", (F.col("start") + existing).alias("start"))
+    starts = running_total(sizes, "__file", "__order", F.col("__n"), "start", levels=3).select("__file", "__order", (F.col("start") + existing).alias("start"))
     return packed.join(starts, F.col(file).eqNullSafe(F.col("__file")) & F.col(order).eqNullSafe(F.col("__order"))).drop("__file", "__order")
 
 

@@ -87,16 +87,17 @@ def test_segments_do_not_depend_on_blocks(spark, monkeypatch):
     tokens = table(spark, random_files(9))
     run = lambda: Counter(map(tuple, K.segments(tokens, [OPEN], [MARK], END, [MARK, OTHER]).collect()))
     first = run()
-    monkeypatch.setattr(sequence.scan, "__defaults__", (None, None, 16))
-    monkeypatch.setattr(sequence.running_total, "__defaults__", (16,))
+    monkeypatch.setattr(sequence.scan, "__defaults__", (None, None, 16, 1))
+    monkeypatch.setattr(sequence.running_total, "__defaults__", (16, 1))
     assert run() == first
 
 
-def test_totals_and_next_values_equal_plain_loops(spark):
+@pytest.mark.parametrize(("reach", "block", "levels"), [(10_000, 64, 1), (1 << 62, 64, 3), (300, 8, 2)])
+def test_totals_and_next_values_equal_plain_loops(spark, reach, block, levels):
     r = random.Random(3)
-    rows = [(k, p, r.randrange(5)) for k in "ab" for p in r.sample(range(10_000), 200)]
+    rows = [(k, p, r.randrange(5)) for k in "ab" for p in {r.randrange(reach) for _ in range(200)}]
     df = spark.createDataFrame(rows, "k string, p long, v int")
-    got = sequence.scan(df, "k", "p", {"before": F.col("v")}, {"next": F.when(F.col("v") == 4, F.col("p"))}, 64).collect()
+    got = sequence.scan(df, "k", "p", {"before": F.col("v")}, {"next": F.when(F.col("v") == 4, F.col("p"))}, block, levels).collect()
     for x in got:
         mine = [(p, v) for k, p, v in rows if k == x.k]
         assert x.before == sum(v for p, v in mine if p < x.p) and x.next == min((p for p, v in mine if p > x.p and v == 4), default=None)
